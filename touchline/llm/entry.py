@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, seekable
+from . import archive, bpe, outliers, packing, seekable, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hilbert_packing": packing.query,
+    "op4_content_addressed_warc": archive.query,
+    "op5_mcd_outliers": outliers.query,
+    "op6_folded_lexicon": toxicity.query,
     "op8_seekable_tokens": seekable.query,
     "op10_speculative_bpe": bpe.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_content_addressed_warc": archive.SQL}
