@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, bpe, outliers, packing, seekable, toxicity
+from . import archive, bitslice, bpe, gam, outliers, packing, seekable, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_additive_pairs": gam.query,
+    "op2_bit_sliced_top_k": bitslice.query,
     "op3_hilbert_packing": packing.query,
     "op4_content_addressed_warc": archive.query,
     "op5_mcd_outliers": outliers.query,
@@ -16,4 +18,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_seekable_tokens": seekable.query,
     "op10_speculative_bpe": bpe.query,
 }
-ORACLES: dict[str, str] = {"op4_content_addressed_warc": archive.SQL}
+ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": bitslice.SQL, "op4_content_addressed_warc": archive.SQL}
