@@ -58,7 +58,9 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     join. Rounds needed grow with the logarithm of the longest path.
     """
     pair = lambda d: d.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = written(pair(edges), f"{tag}-edges")
+    state = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    now = written(pair(edges.select("a", "b")), f"{tag}-edges")
+    was = state(now)
     for _ in range(max_rounds):
         # large star: each node's larger neighbours are tied to the least of its neighbourhood
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -67,9 +69,19 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
         # small star: each node and its smaller neighbours are tied to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = pair(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))))
-        after = written(small, f"{tag}-edges")
-        same = now.count() == after.count() and now.join(after, ["a", "b"], "left_anti").isEmpty()
-        now = after
-        if same:
+        now = written(small, f"{tag}-edges")
+        if (then := state(now)) == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        was = then
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+#: Buckets of a filter by id: a broadcast of at most so many numbers, however many ids there are.
+BUCKETS = 1 << 20
+
+
+def likely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows whose id may be among ids(id): a bounded filter, made before a join, that lets all that match pass."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    held = ids.select(bucket(F.col("id")).alias("_bucket")).distinct()
+    return rows.join(F.broadcast(held), bucket(F.col(column)) == F.col("_bucket"), "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, bitslice, bpe, gam, outliers, packing, seekable, toxicity
+from . import archive, bitslice, bpe, gam, jaccard, outliers, packing, seekable, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_pairs": gam.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_content_addressed_warc": archive.query,
     "op5_mcd_outliers": outliers.query,
     "op6_folded_lexicon": toxicity.query,
+    "op7_count_vector_join": jaccard.query,
     "op8_seekable_tokens": seekable.query,
     "op10_speculative_bpe": bpe.query,
 }
