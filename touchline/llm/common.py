@@ -80,8 +80,23 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
 BUCKETS = 1 << 20
 
 
+def _bucketed(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    bucket = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(BUCKETS)).cast("int")
+    held = ids.select(bucket(F.col("id")).alias("_bucket")).distinct()
+    return rows.join(F.broadcast(held), bucket(F.col(column)) == F.col("_bucket"), how)
+
+
 def likely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """rows whose id may be among ids(id): a bounded filter, made before a join, that lets all that match pass."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-    held = ids.select(bucket(F.col("id")).alias("_bucket")).distinct()
-    return rows.join(F.broadcast(held), bucket(F.col(column)) == F.col("_bucket"), "left_semi")
+    return _bucketed(rows, ids, column, "left_semi")
+
+
+def unlikely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The other rows; none of them is among ids."""
+    return _bucketed(rows, ids, column, "left_anti")
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows whose id isn't among ids(id), a null one included. Rows that the bounded filter clears aren't moved."""
+    some = likely(rows, ids, column).join(ids.select(F.col("id").cast("long").alias("_gone")), F.col(column).cast("long") == F.col("_gone"), "left_anti")
+    return some.unionByName(unlikely(rows, ids, column))

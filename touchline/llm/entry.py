@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, bitslice, bpe, gam, jaccard, outliers, packing, seekable, toxicity
+from . import archive, bitslice, bpe, gam, jaccard, lines, outliers, packing, seekable, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_pairs": gam.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_folded_lexicon": toxicity.query,
     "op7_count_vector_join": jaccard.query,
     "op8_seekable_tokens": seekable.query,
+    "op9_fuzzy_lines": lines.query,
     "op10_speculative_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": bitslice.SQL, "op4_content_addressed_warc": archive.SQL}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, likely, table, written
+from .common import components, likely, table, without, written
 from .shingles import shingle_sets
 
 #: Groups of shingles, points of a leaf, and classes of a cell that are compared in one task.
@@ -218,6 +218,12 @@ def join(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def thin_out(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """docs with all columns, of each group of linked documents only the one with the least doc_id."""
+    gone = join(docs, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct()
+    return without(docs, written(gone, "gone"), "doc_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document's set size and component at similarity 0.8."""
     return join(table(spark, sf_dir, "documents"))

@@ -120,9 +120,7 @@ def _distance(names: list[str]) -> Column:
 
 def _levels(rows: DataFrame) -> DataFrame:
     """Each row once for its source and language, once for its language, once for all."""
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    keys = F.array(F.concat(F.lit("2"), name("lang"), F.lit("\x00"), name("source")), F.concat(F.lit("1"), name("lang")), F.lit("0"))
-    return rows.withColumn("_group", F.explode(keys))
+    return rows.withColumn("_group", F.explode(F.array(*_keys().values())))
 
 
 def estimates(vectors: DataFrame, floors: dict[str, float], share: float = SHARE, steps: int = STEPS) -> DataFrame:
@@ -155,27 +153,61 @@ def estimates(vectors: DataFrame, floors: dict[str, float], share: float = SHARE
     return now
 
 
-def judge(docs: DataFrame, keep: list[str], cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """docs(keep..., text, lang, source) as keep..., the counts, base_failed, distance and kept."""
-    held = [f"_k{i}" for i in range(len(keep))]
-    own = docs.select(*(F.col(c).alias(h) for c, h in zip(keep, held)), F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
-    stats = counts(own, [*held, "lang", "source"]).select("*", *(c.alias(n) for n, c in vector().items()), (F.col("n_words") / (F.col("n_words") + STEADY)).alias("_weight"))
-    stats = written(stats, "quality")
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    # the estimate is of documents that pass the base rules: what they reject can't shift it
-    found = estimates(_levels(stats.where(~base)).select("_group", "_weight", *FLOORS), FLOORS)
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    levels = {"2": F.concat(F.lit("2"), name("lang"), F.lit("\x00"), name("source")), "1": F.concat(F.lit("1"), name("lang"))}
-    # the estimate of each pair of language and source, from the finest level that is large enough; then one join
-    pairs = stats.select("lang", "source").distinct().withColumns({"_g2": levels["2"], "_g1": levels["1"], "_g0": F.lit("0")})
+def _name(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
+
+
+def _keys() -> dict[str, Column]:
+    return {"2": F.concat(F.lit("2"), _name("lang"), F.lit("\x00"), _name("source")), "1": F.concat(F.lit("1"), _name("lang")), "0": F.lit("0")}
+
+
+def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """docs(keep..., text, lang, source) as keep..., lang, source, the counts, the vector and its weight."""
+    own = docs.select(*keep, "text", "lang", "source")
+    return counts(own, [*keep, "lang", "source"]).select("*", *(c.alias(n) for n, c in vector().items()), (F.col("n_words") / (F.col("n_words") + STEADY)).alias("_weight"))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def fitted(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """(_key, _mean, _inv): for each pair of language and source the estimate of the finest level that is large enough. The
+    estimates are of documents that pass the base rules: what those reject can't shift them."""
+    found = estimates(_levels(stats.where(~base_failed())).select("_group", "_weight", *FLOORS), FLOORS)
+    pairs = stats.select("lang", "source").distinct().withColumns({f"_g{level}": c for level, c in _keys().items()})
     for level in "210":
         least = 1 if level == "0" else min_group
         pairs = pairs.join(found.where(F.col("_n") >= least).select(F.col("_group").alias(f"_g{level}"), F.struct("_mean", "_inv").alias(f"_e{level}")), f"_g{level}", "left")
-    pairs = pairs.select(F.col("_g2"), F.coalesce("_e2", "_e1", "_e0").alias("_e")).select("_g2", "_e._mean", "_e._inv")
-    far = F.coalesce(_distance(list(FLOORS)), F.lit(0.0))
-    out = stats.withColumn("_g2", levels["2"]).join(pairs, "_g2", "left").select("*", base.alias("base_failed"), far.alias("distance"))
-    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(*(F.col(h).alias(c) for c, h in zip(keep, held)), *columns, (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"), "distance")
+    return written(pairs.select(F.col("_g2").alias("_key"), F.coalesce("_e2", "_e1", "_e0").alias("_e")).select("_key", "_e._mean", "_e._inv"), "mcd")
+
+
+def verdicts(stats: DataFrame, models: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """stats with base_failed, distance and kept. The table of models has a row for each pair of language and source; Spark
+    broadcasts it if its files are small and else deals both sides by that pair."""
+    near = stats.withColumn("_key", _keys()["2"]).join(models, "_key", "left")
+    judged = near.select("*", base_failed().alias("base_failed"), F.coalesce(_distance(list(FLOORS)), F.lit(0.0)).alias("distance"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
+
+
+def judge(docs: DataFrame, keep: list[str], cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+    """docs(keep..., text, lang, source) as keep..., the counts, base_failed, kept and distance."""
+    held = [f"_k{i}" for i in range(len(keep))]
+    own = docs.select(*(F.col(c).alias(h) for c, h in zip(keep, held)), "text", "lang", "source")
+    stats = written(statistics(own, held), "quality")
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
+    return verdicts(stats, fitted(stats, min_group), cutoff).select(*(F.col(h).alias(c) for c, h in zip(keep, held)), *columns)
+
+
+def clean(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+    """The documents that are kept, with all their columns. Counts are taken again beside each text, which is cheaper than
+    moving the texts to their verdicts."""
+    models = fitted(written(statistics(docs, []), "quality"), min_group)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", "lang", "source")
+    # Spark pushes filters below deterministic projections, copying their expressions; a row number holds this one above
+    # the counts, so that each array of a text is made once
+    held = statistics(whole, ["_row"]).withColumn("_at", F.monotonically_increasing_id())
+    return verdicts(held, models, cutoff).where("kept and _at >= 0").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

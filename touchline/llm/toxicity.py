@@ -200,7 +200,7 @@ def densities(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64())], names=[*keep, "hits", "density"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, hits long, density double")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, hits long, density double")
 
 
 def score(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
@@ -210,6 +210,13 @@ def score(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
     return densities(docs, lex, keep).select(*keep, "hits", (1 / (1 + F.exp(-z))).alias("score"))
 
 
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 20_000) -> DataFrame:
+    """The documents that score below threshold, with all their columns. labels(doc_id, label)."""
+    lex = learn(docs, labels, max_rows)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
+    return score(whole, lex, ["_row"]).where(F.col("score") < threshold).select("_row.*")
+
+
 def training_labels(labels: DataFrame, column: str, folds: int, held_out: int) -> DataFrame:
     return labels.where(F.expr(f"crc32(encode(cast(doc_id as string), 'UTF-8')) % {folds} <> {held_out}")).select("doc_id", F.col(column).alias("label"))
 
