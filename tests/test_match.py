@@ -60,7 +60,7 @@ def test_no_feature_sees_the_future(spark):
 def test_position_counts_only_teams_that_played(spark):
     rows = [(0, dt.date(2020, 8, 1), "2020/21", "L", "A", "B", 0, 2, 1, 1), (1, dt.date(2020, 8, 2), "2020/21", "L", "C", "A", 1, 1, 1, 1), (2, dt.date(2020, 8, 3), "2020/21", "L", "D", "B", 1, 0, 1, 1)]
     got = {r["seq"]: (r["home_pos"], r["away_pos"]) for r in windows.as_of_position(spark.createDataFrame(rows, COLUMNS)).collect()}
-    assert got == {0: (1, 1), 1: (2, 3), 2: (2, 1)}
+    assert got == {0: (1, 1), 1: (2, 2), 2: (4, 1)}  # a newcomer counts as 0 points, and only teams that played are ahead
 
 
 def test_upsert_never_moves_backward(spark):
