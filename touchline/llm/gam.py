@@ -186,7 +186,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     m = Model()
     n, rate = len(y), float(np.mean(y)) if len(y) else 0.5
     m.base = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
-    if not 0 < rate < 1:
+    if not n or not 0 < rate < 1:
         m.base = 0.0 if not n else math.copysign(6.0, rate - 0.5)
         return m
     m.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]

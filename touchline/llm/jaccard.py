@@ -8,7 +8,7 @@ R-tree), leaves and then points are compared by that bound, and the pairs that s
 An index of all points would have to visit nearly every leaf, as boxes in many dimensions overlap; so there is a tree for each
 cell of classes that share a shingle among their rarest (sets of Jaccard similarity t share one among the first
 n - ceil(t n) + 1 in any common order, and the smaller set among its first n - ceil(2 t n / (1 + t)) + 1). The order puts
-frequent shingles last. Cells lose no link: every class is in the cells of all its leading shingles.
+shingles that documents are known to share last. Cells lose no link: every class is in the cells of all its leading shingles.
 
 Links are looked for twice: first each cell's classes against its least one, which joins groups of near copies without
 comparing all their members; then, in cells that still hold different components, all pairs that the trees don't rule out.
@@ -34,9 +34,9 @@ from .shingles import shingle_sets
 
 #: Groups of shingles, points of a leaf, and classes of a cell that are compared in one task.
 GROUPS, LEAF, BLOCK = 128, 32, 512
-#: Rows of a task that hold a shingle before it is reported as frequent, shingles that the order knows as frequent, and
-#: different shingles that a task counts before it forgets those seen once. They only change the order, never the result.
-OFTEN, FREQUENT, COUNTED = 8, 300_000, 3_000_000
+#: Bits of the map of shared shingles, and different shingles that a task counts before it forgets those seen once. They only
+#: change the order, never the result.
+MAP_BITS, COUNTED = 26, 3_000_000
 
 
 def leading(n: int, num: int, den: int) -> tuple[int, int]:
@@ -44,21 +44,23 @@ def leading(n: int, num: int, den: int) -> tuple[int, int]:
     return n - -(-num * n // den) + 1, n - -(-2 * num * n // (num + den)) + 1
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents hold, sorted, and about how many: the sum of what tasks report."""
+def shared_shingles(docs: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits' cells: those of shingles that several documents of one task hold. Shingles of a passage that
+    many documents share are all but sure to meet in some task; one that few share makes a small cell anyway. The map has a
+    fixed size; where it fills up, the order comes to be that of the hashes alone."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        once = np.zeros(0, np.uint64)
+        again = np.zeros(0, np.uint64)
         held: list[np.ndarray] = []
 
         def settle() -> None:
-            nonlocal keys, counts, held
-            k, c = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
-            both, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, c]), both.size).astype(np.int64)
-            keys, held = both, []
-            if keys.size > COUNTED:
-                keys, counts = keys[counts > 1], counts[counts > 1]
+            nonlocal once, again, held
+            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (once[:0], np.zeros(0, int))
+            met = np.isin(keys, once, assume_unique=True)
+            again = np.union1d(again, keys[(counts > 1) | met])
+            once = keys if once.size > COUNTED else np.union1d(once, keys)
+            held = []
 
         for b in batches:
             size = 0
@@ -69,22 +71,24 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     settle()
                     size = 0
         settle()
-        big = counts >= OFTEN
-        yield pa.RecordBatch.from_arrays([pa.array(keys[big].view(np.int64)), pa.array(counts[big])], names=["shingle", "n"])
+        cells = np.unique((again >> np.uint64(64 - MAP_BITS)).astype(np.int64))
+        words, at = np.unique(cells >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(np.int64(1) << (cells & 63), at) if cells.size else cells
+        yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(bits)], names=["word", "bits"])
 
-    top = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).toPandas()
-    keys = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], top["n"].to_numpy(np.int64)[order]
+    rows = docs.select("text").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out
 
 
 def signatures(docs: DataFrame, num: int, den: int) -> DataFrame:
     """docs(doc_id, text) as doc_id, n_shingles, f1, f2 (together the set's fingerprint), counts, lead (leading shingles in
     the common order) and small (how many of them lead it as the smaller of a pair)."""
-    common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+    common = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = common.value
+        shared = common.value
         with np.errstate(over="ignore"):
             for b in batches:
                 n, f1, f2, counts, lead, small = [], [], [], [], [], []
@@ -94,9 +98,9 @@ def signatures(docs: DataFrame, num: int, den: int) -> DataFrame:
                     f2.append(int(np.add.reduce((s ^ (s >> np.uint64(31))) * s).view(np.int64)) if s.size else 0)
                     counts.append(np.bincount(((s >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
                     large, few = leading(s.size, num, den) if s.size else (0, 0)
-                    if known.size and s.size:
-                        at = np.minimum(np.searchsorted(known, s), known.size - 1)
-                        s = s[np.lexsort([s, np.where(known[at] == s, times[at], 0)])]
+                    cell = (s >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                    late = (shared[cell >> 6] >> (cell & 63)) & 1 == 1
+                    s = np.concatenate([s[~late], s[late]])
                     lead.append(s[:large].view(np.int64))
                     small.append(few)
                 yield pa.RecordBatch.from_arrays(
@@ -187,7 +191,7 @@ def join(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     classes = written(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cls")), "classes")
     copies = some.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"]).where("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
     own = some.join(classes.select("f1", "f2", "n_shingles", F.col("cls").alias("doc_id")), ["f1", "f2", "n_shingles", "doc_id"], "left_semi")
-    own = own.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "counts", "lead", "small")
+    own = own.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "lead", "small")
 
     # cells: classes that share a leading shingle, at least one of them as the smaller
     token = own.select("cls", "n", "small", F.posexplode("lead").alias("_at", "token")).select("token", "cls", "n", (F.col("_at") < F.col("small")).alias("small"))
@@ -209,7 +213,10 @@ def join(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
     hot_cells = hot.select("token", F.least("_b", "_o").alias("low"), F.greatest("_b", "_o").alias("high"), side.alias("side"), "cls", "n", "small", "part")
     rows = written(small_cells.unionByName(hot_cells), "apart")
-    points = own.select("cls", "counts").join(rows.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    # a doc_id that repeats with other texts has several points; each row meets all of them, its own among them
+    held = some.select(F.col("doc_id").alias("cls"), "f1", "counts")
+    ids = rows.select(F.col("cls").alias("id")).distinct()
+    points = likely(held, ids, "cls").join(ids, F.col("cls") == F.col("id"), "left_semi").dropDuplicates(["cls", "f1"]).select("cls", "counts")
     placed = rows.join(points, "cls").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     found = placed.select("token", "low", "high", "side", "cls", "n", "small", "part", "counts").mapInPandas(lambda it: _cell_pairs(it, num, den), "a long, b long").distinct()
     more = linked(written(found, "found"), docs, num, den)
