@@ -34,9 +34,9 @@ from .shingles import shingle_sets
 
 #: Groups of shingles, points of a leaf, and classes of a cell that are compared in one task.
 GROUPS, LEAF, BLOCK = 128, 32, 512
-#: Bits of the map of shared shingles, and different shingles that a task counts before it forgets those seen once. They only
-#: change the order, never the result.
-MAP_BITS, COUNTED = 26, 3_000_000
+#: Bits of the map of shared shingles, documents of one task that make a shingle shared, and cells of the map in a row of
+#: it. They only change the order, never the result.
+MAP_BITS, SHARED, SEGMENT = 25, 4, 1 << 20
 
 
 def leading(n: int, num: int, den: int) -> tuple[int, int]:
@@ -45,22 +45,20 @@ def leading(n: int, num: int, den: int) -> tuple[int, int]:
 
 
 def shared_shingles(docs: DataFrame) -> np.ndarray:
-    """A map of MAP_BITS bits' cells: those of shingles that several documents of one task hold. Shingles of a passage that
-    many documents share are all but sure to meet in some task; one that few share makes a small cell anyway. The map has a
-    fixed size; where it fills up, the order comes to be that of the hashes alone."""
+    """A map of 2^MAP_BITS cells, a bit each: those of shingles that SHARED documents of one task hold. Shingles of a passage
+    that many documents share are all but sure to meet in some task; one that few share makes a small cell anyway. Counters and
+    map have a fixed size; where the map fills up, the order comes to be that of the hashes alone."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = np.zeros(0, np.uint64)
-        again = np.zeros(0, np.uint64)
+        times = np.zeros(1 << MAP_BITS, np.uint8)
         held: list[np.ndarray] = []
 
         def settle() -> None:
-            nonlocal once, again, held
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (once[:0], np.zeros(0, int))
-            met = np.isin(keys, once, assume_unique=True)
-            again = np.union1d(again, keys[(counts > 1) | met])
-            once = keys if once.size > COUNTED else np.union1d(once, keys)
-            held = []
+            cells = np.sort((np.concatenate(held) >> np.uint64(64 - MAP_BITS)).astype(np.int32)) if held else np.zeros(0, np.int32)
+            first = np.flatnonzero(np.concatenate([cells[:1] == cells[:1], cells[1:] != cells[:-1]]))
+            n = np.diff(np.append(first, cells.size))
+            times[cells[first]] = np.minimum(times[cells[first]] + n, 255)
+            held.clear()
 
         for b in batches:
             size = 0
@@ -70,15 +68,23 @@ def shared_shingles(docs: DataFrame) -> np.ndarray:
                 if size > 1_000_000:
                     settle()
                     size = 0
-        settle()
-        cells = np.unique((again >> np.uint64(64 - MAP_BITS)).astype(np.int64))
+            settle()
+        cells = np.flatnonzero(times >= SHARED)
         words, at = np.unique(cells >> 6, return_index=True)
         bits = np.bitwise_or.reduceat(np.int64(1) << (cells & 63), at) if cells.size else cells
         yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(bits)], names=["word", "bits"])
 
-    rows = docs.select("text").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(SEGMENT >> 6, np.int64)
+        part[pdf["word"].to_numpy(np.int64) % (SEGMENT >> 6)] = pdf["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"segment": [key[0]], "bits": [part.tobytes()]})
+
+    words = docs.select("text").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    # the driver gets the map in a few rows of 128 kB, as many for any input
+    segments = words.groupBy(F.floor(F.col("word") / (SEGMENT >> 6)).cast("int").alias("segment")).applyInPandas(fill, "segment int, bits binary")
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    for r in segments.collect():
+        out[r["segment"] * (SEGMENT >> 6) :][: SEGMENT >> 6] = np.frombuffer(r["bits"], np.int64)
     return out
 
 
