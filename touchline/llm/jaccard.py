@@ -118,10 +118,14 @@ def signatures(docs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs(a, b), those whose texts' sets are similar. Only texts of documents in pairs are moved."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(likely(docs, ids, "doc_id").join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    """Of pairs(a, b), those whose texts' sets are similar. Texts pass the bounded filter of their own side's ids and go
+    straight into the pairs' joins, which drop all others: each side's texts are moved once."""
+
+    def side(column: str, text: str) -> DataFrame:
+        ids = pairs.select(F.col(column).alias("id")).distinct()
+        return likely(docs, ids, "doc_id").select(F.col("doc_id").alias(column), F.col("text").alias(text))
+
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
