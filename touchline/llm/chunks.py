@@ -26,6 +26,9 @@ WINDOW = 2_000_000
 #: Chunks given to the library in one string.
 JOINED = 200
 
+#: Powers of the base are made for 2^POWERS values at least, so that windows of all sizes share one table.
+POWERS = 21
+
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(1, 2**62)) * 4 + 5
@@ -57,7 +60,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans [starts, ends) of an array of bytes."""
-    n = 1 << max(16, int(values.size).bit_length())
+    n = 1 << max(POWERS, int(values.size).bit_length())
     power, inverse = _powers(n)
     sums = np.zeros(values.size + 1, np.uint64)
     np.cumsum(_BYTE[values] * power[: values.size], out=sums[1:])
