@@ -72,6 +72,41 @@ def test_lines_equal_brute_force(spark, nothing):
     assert lines.dedup(nothing).isEmpty()
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_lines_linked_only_through_a_hub(spark, monkeypatch, block):
+    monkeypatch.setattr(lines, "BLOCK", block)  # a small block takes cells through the path of large ones
+    rng = np.random.default_rng(11)
+    line = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    every = []
+    for _ in range(3):
+        hub = line(400)
+        # the hub is the longest: a copy lacks a piece of its own, and is unlike all other copies
+        every += [hub, *(hub[: 48 * i] + hub[48 * i + 45 + i :] for i in range(8))]
+    every += [line(380 + i) for i in range(6)]
+    sets = [{x[k : k + 7] for k in range(len(x) - 6)} for x in every]
+    links = [(i, j) for i in range(len(every)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert sorted(links) == sorted((9 * g + i, 9 * g) for g in range(3) for i in range(1, 9))
+    rng.shuffle(order := list(range(len(every))))
+    at = {k: n for n, k in enumerate(order)}
+    root = _roots(len(every), [(at[i], at[j]) for i, j in links])
+    got = lines.removals(spark.createDataFrame([(n, every[k]) for n, k in enumerate(order)], "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [n for n in range(len(every)) if root[n] != n]
+
+
+def test_cell_links_equal_brute_force():
+    rng = np.random.default_rng(12)
+    texts, part = [], []
+    for _ in range(12):
+        base = "".join(rng.choice(list("abcdefghij "), 120))
+        texts += [base[: k - 4] + base[k:] for k in rng.integers(4, 120, 4).tolist()]
+        part += [len(part)] * 2 + [len(part) + 2, len(part) + 3]
+    part, side = np.array(part), rng.integers(0, 2, len(texts))
+    for sides in (side, np.full(len(texts), 2)):
+        sets = [{lines.even(x)[k : k + 7] for k in range(len(lines.even(x)) - 6)} for x in texts]
+        ok = [(i, j) for i in range(len(texts)) for j in range(i) if (sides[i] == 2 or sides[i] != sides[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        assert ok and _roots(len(texts), [(part[i], part[j]) for i, j in ok]) == _roots(len(texts), lines.cell_links(texts, part, sides, 4, 5))
+
+
 def test_archive(spark):
     big, other = "é" * 600, "y" * 2000
     pages = [(1, "u", big), (5, "u", big), (3, None, big), (2, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (8, "a\r\nb", other), (8, "u", other), (None, "u", other), (9, "u", "z" * 1000)]

@@ -2,11 +2,14 @@
 
 Lines with a word are lower-cased, their white space is made even, and their sets of CHARS-character shingles are signed by
 one permutation whose values fall into bins; empty bins borrow from others by a fixed schedule. BANDS bands of ROWS bins make
-the candidates: at similarity 0.8 a pair shares a band with probability 0.998. Within a band's cell, each line is paired with
-the first and with the one before it by size, so a cell gives at most two pairs a line. Pairs are verified by the exact Jaccard similarity of
+the candidates: at similarity 0.8 a pair shares a band with probability 0.998. Pairs are verified by the exact Jaccard similarity of
 their shingle sets, verified pairs are joined by distributed union-find, and of each component the occurrence in the least
 (doc_id, line number) stays. Equal lines are one class from the start.
 
+Links are looked for twice: first each line of a band's cell against the first one and the one before it by size, which joins
+most groups without comparing all their members; then, in cells that still hold different components, all pairs of lines of
+different components. Pairs within one component cannot change the result and are skipped.
+
 Rows: a null text stays null, and lines without a word always stay; lines shorter than a shingle match only equal ones; texts
 and lines of any length are used whole; rows that repeat a doc_id are one document, each losing the same lines; rows with a
 null doc_id lose no line and make no other lose one; an empty table gives no rows. Other columns are kept as they are.
@@ -30,6 +33,8 @@ CHARS, BANDS, ROWS = 7, 12, 4
 BINS = BANDS * ROWS
 #: Characters of lines that are signed or compared at a time, if a line isn't longer.
 WINDOW = 400_000
+#: Lines of a cell that are compared in one task with as many others, and groups of shingles whose counts bound an overlap.
+BLOCK, GROUPS = 512, 64
 _ODD = np.uint64(0xD1342543DE82EF95)
 
 
@@ -147,6 +152,72 @@ def similar(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def cell_links(texts: list[str], part: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Components of a cell that its similar lines link, in pairs: enough of them to join all that any of its pairs would.
+    part: component of each line; side: 0 or 1 if only lines of different sides are to be paired, else 2."""
+    h, begin = shingles([even(t) for t in texts])
+    line = np.repeat(np.arange(len(texts)), np.diff(begin))
+    order = np.lexsort([h, line])
+    h, line = h[order], line[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
+    h, line = h[new], line[new]
+    size = np.bincount(line, minlength=len(texts))
+    sets = np.split(h, np.cumsum(size)[:-1])
+    points = np.bincount(line * GROUPS + ((h >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64), minlength=len(texts) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    order = np.argsort(size, kind="stable")
+    size, points, side, root = size[order], points[order], side[order], part[order].copy()
+    # the larger of two similar sets is at most den / num times the smaller, and their smaller counts sum to their overlap at least
+    stop = np.searchsorted(size * num, size * den, side="right")
+    out = []
+    for i in range(size.size - 1):
+        j = np.arange(i + 1, stop[i])
+        j = j[(root[j] != root[i]) & ((side[j] == 2) | (side[j] != side[i]))]
+        j = j[np.minimum(points[i], points[j]).sum(axis=1) * (num + den) >= num * (size[i] + size[j])]
+        for k in j.tolist():
+            if root[k] != root[i]:
+                shared = np.intersect1d(sets[order[i]], sets[order[k]], assume_unique=True).size
+                if shared * (num + den) >= num * (size[i] + size[k]):
+                    out.append((int(min(root[i], root[k])), int(max(root[i], root[k]))))
+                    root[root == out[-1][1]] = out[-1][0]
+    return out
+
+
+def _apart_links(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, low, high, side, part, text) sorted by cell and block pair; a cell's rows may go on in the next batch."""
+    now, part, side, texts = None, [], [], []
+
+    def out() -> pa.RecordBatch:
+        links = cell_links(texts, np.array(part, np.int64), np.array(side, np.int64), num, den) if texts else []
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        for key, low, high, s, p, text in zip(*(c.to_pylist() for c in b.columns)):
+            if (key, low, high) != now:
+                yield out()
+                now, part, side, texts = (key, low, high), [], [], []
+            part.append(p)
+            side.append(s)
+            texts.append(text)
+    yield out()
+
+
+def links_between(cells: DataFrame, part: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Components, a and b, that any two similar lines of one of cells(key, cid, size) link. Large cells are cut to blocks,
+    compared two by two; of cells with the same lines one is enough."""
+    told = cells.join(part.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", "size", F.coalesce("component", "cid").alias("part"))
+    told = written(told, "line-cells-told")
+    same = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"_h{i}") for i in (0, 1)]
+    stats = told.groupBy("key").agg(F.min("part").alias("_x"), F.max("part").alias("_y"), F.count("*").alias("_k"), F.sum("size").alias("_chars"), *same).where("_x <> _y")
+    one = stats.groupBy("_h0", "_h1", "_k").agg(F.min_by(F.struct("key", "_chars"), "key").alias("_c"))
+    blocks = F.greatest(F.ceil(F.col("_k") / BLOCK), F.ceil(F.col("_c._chars") / WINDOW)).cast("int")
+    apart = told.join(one.select(F.col("_c.key").alias("key"), blocks.alias("_n")), "key").join(texts, "cid")
+    apart = apart.withColumn("_b", F.pmod(F.xxhash64("cid"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
+    rows = apart.select("key", F.least("_b", "_o").alias("low"), F.greatest("_b", "_o").alias("high"), side.alias("side"), "part", "text")
+    placed = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return placed.mapInArrow(lambda it: _apart_links(it, num, den), "a long, b long").distinct()
+
+
 def removals(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """docs(doc_id, text) as doc_id, line: the lines that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
@@ -159,8 +230,9 @@ def removals(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     key = F.col("_band").cast("long") * F.lit(1 << 32) + F.col("_key").cast("long")
     banded = classes.select("cid", "size", F.posexplode("bands").alias("_band", "_key")).select("cid", "size", key.alias("key"))
     cell = Window.partitionBy("key").orderBy("size", "cid")
-    met = banded.select("cid", "size", F.first("cid").over(cell).alias("_f"), F.first("size").over(cell).alias("_fs"), F.lag("cid").over(cell).alias("_p"), F.lag("size").over(cell).alias("_ps")).where("_p is not null")
-    pairs = met.select(F.explode(F.array("_f", "_p")).alias("a"), F.col("cid").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    times = F.count("*").over(cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = written(banded.select("key", "cid", "size", F.first("cid").over(cell).alias("_f"), F.lag("cid").over(cell).alias("_p"), times.alias("_k")).where("_k > 1"), "line-cells")
+    pairs = met.where("_p is not null").select(F.explode(F.array("_f", "_p")).alias("a"), F.col("cid").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "line-pairs")
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -170,7 +242,14 @@ def removals(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     # rows that repeat a doc_id give one text; the join's own partitioning serves to drop the others
     texts = held.join(asked, (F.col("doc_id") == F.col("_doc")) & (F.col("_n") == F.col("_line"))).dropDuplicates(["doc_id", "_n", "cid"])
     texts = written(texts.select("cid", "text"), "line-texts")
-    part = components(similar(pairs, texts, num, den), "lines")
+    part = written(components(similar(pairs, texts, num, den), "lines"), "line-parts")
+
+    # cells in which components are still apart; in one of up to three lines all pairs were compared
+    more = components(links_between(met.where("_k > 3").select("key", "cid", "size"), part, texts, num, den), "line-parts")
+    more = more.select(F.col("node").alias("_root"), F.col("component").alias("_to"))
+    lone = more.join(part.select(F.col("node").alias("_root")), "_root", "left_anti").select(F.col("_root").alias("node"), F.col("_to").alias("component"))
+    part = part.join(more, F.col("component") == F.col("_root"), "left").select("node", F.coalesce("_to", "component").alias("component")).unionByName(lone)
+    part = written(part, "line-parts")
 
     # of each component the least occurrence stays
     told = classes.where("times > 1").select("cid").unionByName(part.select(F.col("node").alias("cid"))).distinct()
