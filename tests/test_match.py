@@ -179,3 +179,26 @@ def test_feature_matrix_and_serving(spark):
     trained = m.where(f"seq = {last}").first()
     for a, b in (("home_gf_5", "home_gf_5"), ("away_pts_10", "away_pts_10"), ("home_days_rest", "home_days_rest")):
         assert math.isclose(served[a], trained[b], abs_tol=1e-3)
+
+
+def test_serving_equals_training(spark):
+    rows, df = _matches(spark, seed=2)
+    n = lambda k, m: F.when(F.col("seq") % 7 != 0, (F.col("seq") * k % m).cast("int"))
+    df = df.withColumns({
+        "outcome": X.outcome(F.col("home_score"), F.col("away_score")), "odds_home": F.lit(2.0), "odds_draw": F.lit(3.0), "odds_away": F.lit(4.0),
+        "home_shots_on_target": n(3, 5), "away_shots_on_target": n(5, 6), "home_corners": n(7, 8), "away_corners": n(4, 9),
+    })
+    m = features.matrix(df)
+    assert {f"{s}_{k}_{way}_{w}" for s in ("home", "away") for k in ("sot", "shots", "corners") for way in ("for", "against") for w in (5, 10)} | {"sot_diff_10"} <= set(m.columns)
+    last = rows[-1][0]
+    trained = m.where(f"seq = {last}").first().asDict()
+    served = features.serving_rows(df.where(f"seq = {last}"), df.where(f"seq < {last}")).first().asDict()
+    assert trained.keys() - served.keys() == {"outcome"} and trained["sot_diff_10"] is not None
+    for c in trained.keys() - {"outcome"}:
+        # ratings and means of stores are rounded
+        assert math.isclose(served[c], trained[c], abs_tol=2e-2 if "elo" in c else 1e-3), c
+    strip = [("W" if (r[6] > r[7]) == (r[4] == rows[-1][4]) else "L") if r[6] != r[7] else "D" for r in rows[:-1] if rows[-1][4] in r[4:6]][-5:]
+    assert served["home_form_summary"] == strip and served["defaults_used"] == 0
+    new = features.serving_rows(df.where(f"seq = {last}").withColumns({"home": F.lit("new"), "league": F.lit("M")}), df.where(f"seq < {last}")).first().asDict()
+    assert (new["home_known"], new["away_known"], new["league_known"], new["home_elo"], new["h2h_home_winrate"], new["home_pos"]) == (False, True, False, 1000.0, 0.5, 1)
+    assert new["home_gf_5"] is not None and new["home_sot_for_5"] is None and new["defaults_used"] > 12 and new["defaulted"].count(",") == 11

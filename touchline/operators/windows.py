@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from touchline.functions import scalar as X
 
 MEASURES = ("win", "draw", "gf", "ga", "pts", "shots_for", "shots_against")
+#: With shots on target and corners, which are null where matches don't carry them.
+ALL_MEASURES = (*MEASURES, "sot_for", "sot_against", "corners_for", "corners_against")
+VENUE_MEASURES = ("pts", "gf", "ga")
 
 
 def team_rows(matches: DataFrame) -> DataFrame:
     """Two rows a match, one for each side."""
+    stat = lambda c: F.col(c) if c in matches.columns else F.lit(None).cast("int")
 
     def side(us: str, them: str) -> Column:
         return F.struct(
             F.lit(us == "home").alias("is_home"), F.col(us).alias("team"), F.col(them).alias("opponent"), F.col(f"{us}_score").alias("gf"), F.col(f"{them}_score").alias("ga"),
             F.col(f"{us}_shots").alias("shots_for"), F.col(f"{them}_shots").alias("shots_against"),
+            stat(f"{us}_shots_on_target").alias("sot_for"), stat(f"{them}_shots_on_target").alias("sot_against"), stat(f"{us}_corners").alias("corners_for"), stat(f"{them}_corners").alias("corners_against"),
         )
 
     both = matches.select("seq", "date", "season", "league", F.explode(F.array(side("home", "away"), side("away", "home"))).alias("_s")).select("seq", "date", "season", "league", "_s.*")
@@ -27,17 +32,17 @@ def team_rows(matches: DataFrame) -> DataFrame:
     return both.select("*", win.alias("win"), draw.alias("draw"), (3 * win + draw).alias("pts"))
 
 
-def rolling_form(matches: DataFrame, sizes: tuple[int, ...] = (5, 10)) -> DataFrame:
+def rolling_form(matches: DataFrame, sizes: tuple[int, ...] = (5, 10), measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """Means of each team's last matches, and how many it has played."""
     order = Window.partitionBy("team").orderBy("date", "seq")
-    means = [F.avg(m).over(order.rowsBetween(-n, -1)).alias(f"{m}_{n}") for n in sizes for m in MEASURES]
+    means = [F.avg(m).over(order.rowsBetween(-n, -1)).alias(f"{m}_{n}") for n in sizes for m in measures]
     return team_rows(matches).select("seq", "team", "is_home", *means, (F.row_number().over(order) - 1).alias("played"))
 
 
 def venue_form(matches: DataFrame, size: int = 10) -> DataFrame:
     """Means of each team's last matches at the same kind of venue."""
     order = Window.partitionBy("team", "is_home").orderBy("date", "seq").rowsBetween(-size, -1)
-    return team_rows(matches).select("seq", "team", "is_home", *(F.avg(m).over(order).alias(f"venue_{m}") for m in ("pts", "gf", "ga")))
+    return team_rows(matches).select("seq", "team", "is_home", *(F.avg(m).over(order).alias(f"venue_{m}") for m in VENUE_MEASURES))
 
 
 def head_to_head(matches: DataFrame) -> DataFrame:
@@ -101,11 +106,31 @@ def form_strip(matches: DataFrame, size: int = 5) -> DataFrame:
 
 
 def form_store(matches: DataFrame) -> DataFrame:
-    """Means of each team's last 5 and 10 matches, matches played and the last day, for serving."""
-    order = Window.partitionBy("team").orderBy(F.col("date").desc(), F.col("seq").desc())
-    rows = team_rows(matches).withColumn("_n", F.row_number().over(order))
-    means = [F.bround(F.avg(F.when(F.col("_n") <= n, F.col(m))), 4).alias(f"{m}_{n}") for n in (5, 10) for m in MEASURES]
-    return rows.groupBy("team").agg(*means, F.count("*").alias("matches_played"), F.max("date").alias("last_match_date"))
+    """Means of each team's last 5 and 10 matches and of its last 10 at home and away, its last 5 results (oldest first),
+    matches played and the last day, for serving."""
+    newest = [F.col("date").desc(), F.col("seq").desc()]
+    rows = team_rows(matches).withColumns({"_n": F.row_number().over(Window.partitionBy("team").orderBy(*newest)), "_v": F.row_number().over(Window.partitionBy("team", "is_home").orderBy(*newest))})
+    means = [F.bround(F.avg(F.when(F.col("_n") <= n, F.col(m))), 4).alias(f"{m}_{n}") for n in (5, 10) for m in ALL_MEASURES]
+    means += [F.bround(F.avg(F.when((F.col("_v") <= 10) & (F.col("is_home") == home), F.col(m))), 4).alias(f"venue_{side}_{m}") for side, home in (("home", True), ("away", False)) for m in VENUE_MEASURES]
+    letters = F.array_sort(F.collect_list(F.when(F.col("_n") <= 5, F.struct((-F.col("_n")).alias("_n"), X.result_letter(F.col("gf"), F.col("ga")).alias("r")))))
+    return rows.groupBy("team").agg(*means, F.transform(letters, lambda x: x["r"]).alias("form_summary"), F.count("*").alias("matches_played"), F.max("date").alias("last_match_date"))
+
+
+def head_to_head_store(matches: DataFrame) -> DataFrame:
+    """For each pair of teams, t1 before t2 by name: the share of wins of both and of draws, and their number, for serving."""
+    rows = matches.select(F.least("home", "away").alias("t1"), F.greatest("home", "away").alias("t2"), F.when(F.col("home_score") > F.col("away_score"), F.col("home")).when(F.col("away_score") > F.col("home_score"), F.col("away")).alias("_w"))
+    share = lambda c: F.bround(F.count_if(c) / F.count("*"), 4)
+    first, second = F.col("_w").eqNullSafe(F.col("t1")), F.col("_w").eqNullSafe(F.col("t2"))
+    return rows.groupBy("t1", "t2").agg(share(first).alias("t1_winrate"), share(second).alias("t2_winrate"), share(~first & ~second).alias("draw_rate"), F.count("*").alias("matches"))
+
+
+def standings_store(matches: DataFrame) -> DataFrame:
+    """The table of each league's latest season, a row for each league, for serving: one entry for each team that played."""
+    rows = team_rows(matches)
+    latest = rows.groupBy("league").agg(F.max_by("season", F.struct("date", "seq")).alias("season"))
+    at = F.struct(F.sum("pts").alias("pts"), F.sum(F.col("gf") - F.col("ga")).alias("gd")).alias("at")
+    teams = rows.join(latest, ["league", "season"]).groupBy("league", "season", "team").agg(at, F.count("*").alias("played"))
+    return teams.groupBy("league", "season").agg(F.collect_list(F.struct("team", "at", "played")).alias("teams"))
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

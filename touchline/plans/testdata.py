@@ -20,12 +20,13 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.join(F.broadcast(home), h == F.col("_hk")).join(F.broadcast(away), F.col("_a") == F.col("_ak"))
     hs, as_ = (F.floor(price) % 5).cast("int"), (F.floor(price / 10) % 4).cast("int")
     day = F.to_date("o_orderdate")
-    shots = lambda d: F.when(seq % 10 != 0, (F.floor(price / d) % 20).cast("int"))
+    shots = lambda d, m=20: F.when(seq % 10 != 0, (F.floor(price / d) % m).cast("int"))
     odds = lambda base, m: F.when(seq % 6 != 0, base + (seq % m) / 4.0)
     group = F.when(F.col("o_orderstatus") == "F", "finished").when(F.col("o_orderstatus") == "P", "in_play").otherwise("scheduled")
     rows = o.select(
         seq.alias("seq"), day.alias("date"), X.season_label(day).alias("season"), "league", "home", "away", hs.alias("home_score"), as_.alias("away_score"), X.outcome(hs, as_).alias("outcome"),
         group.alias("status_group"), F.substring("o_orderpriority", 1, 1).cast("int").alias("trust"), shots(100).alias("home_shots"), shots(1000).alias("away_shots"),
+        shots(20, 9).alias("home_shots_on_target"), shots(200, 8).alias("away_shots_on_target"), shots(50, 12).alias("home_corners"), shots(500, 11).alias("away_corners"),
         odds(1.2, 17).alias("odds_home"), odds(2.5, 7).alias("odds_draw"), odds(1.3, 13).alias("odds_away"),
     )
     return rows.withColumns({"match_key": X.match_key(F.col("date"), F.col("home"), F.col("away")), "progress": X.progress(F.col("status_group"))})
