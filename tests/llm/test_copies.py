@@ -47,7 +47,30 @@ def test_join_equals_brute_force(docs, corpus, nothing, monkeypatch, block):
     want = sorted((str(r[0]), len(sets[i]), str(least[root[i]] if r[0] is not None else None)) for i, r in enumerate(corpus))
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(docs).collect()) == want
     assert jaccard.join(nothing).isEmpty()
-    assert jaccard.thin_out(docs).columns == docs.columns
+    kept = jaccard.thin_out(docs)
+    assert kept.columns == docs.columns
+    none = sum(r[0] is None for r in corpus)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([str(x) for x in {int(v) for v in least.values()}] + ["None"] * none)
+
+
+def test_points_bound_overlaps_at_every_size():
+    rng = np.random.default_rng(8)
+    for n, m, both in ((5, 6, 5), (130, 160, 130), (3000, 3500, 2900), (300, 20_000, 100), (0, 4, 0)):
+        every = rng.integers(0, 2**63, n + m, dtype=np.int64).astype(np.uint64)
+        a, b = every[:n], np.concatenate([every[:both], every[n : n + m - both]])
+        x, y = (jaccard.point_of(jaccard.packed_point(s)) for s in (a, b))
+        groups = min(x.size, y.size)
+        assert x.sum() == a.size and y.sum() == b.size
+        assert np.minimum(jaccard.folded(x, groups), jaccard.folded(y, groups)).sum() >= both
+    assert jaccard.point_of(jaccard.packed_point(np.full(1000, 1 << 20, np.uint64))).max() == 1000
+
+
+def test_documents_known_by_earlier_texts(spark):
+    full = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(4)]
+    docs = spark.createDataFrame([full[0], full[1], (2, "only a scrap is left"), (3, full[3][1])], "doc_id long, text string")
+    also = spark.createDataFrame([full[0], full[1], (2, full[1][1] + " more"), full[3], (9, full[3][1])], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard.thin_out(docs).collect()) == [0, 1, 2, 3]
+    assert sorted(r["doc_id"] for r in jaccard.thin_out(docs, also=also).collect()) == [0, 1, 3]
 
 
 def test_lines_equal_brute_force(spark, nothing):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset in a local
+    session (tests). A cluster must name it: executors could not read each other's files in a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='touchline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Scratch tables that exist, oldest first, and the tables that frames read.
+_made: list[tuple[SparkSession, str]] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/touchline/{tag}-{uuid.uuid4().hex}"
-    atexit.register(drop, spark, path)
+    _made.append((spark, path))
     return path
 
 
@@ -37,7 +46,30 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def finished(*tables: DataFrame) -> None:
+    """Drops tables made by `written` when all that is read from them has been written itself."""
+    for t in tables:
+        _forget({_paths.pop(t)})
+
+
+def release(reading: DataFrame | None = None) -> None:
+    """Drops all scratch tables but those that `reading` reads: for the end of a piece of work whose result has been written."""
+    files = reading.inputFiles() if reading is not None else []
+    _forget({path for _, path in _made if not any(path.rsplit("/", 1)[1] in f for f in files)})
+
+
+def _forget(paths: set[str]) -> None:
+    for spark, path in [m for m in _made if m[1] in paths]:
+        drop(spark, path)
+        _made.remove((spark, path))
+
+
+atexit.register(release)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -69,7 +101,8 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
         # small star: each node and its smaller neighbours are tied to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = pair(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))))
-        now = written(small, f"{tag}-edges")
+        before, now = now, written(small, f"{tag}-edges")
+        finished(before)
         if (then := state(now)) == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         was = then
