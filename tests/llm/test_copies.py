@@ -2,9 +2,10 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from touchline.llm import archive, bitslice, jaccard, lines
+from touchline.llm import archive, bitslice, blocks, jaccard, lines
 from touchline.llm.common import components, scratch_path
 from touchline.llm.lines import even
 
@@ -116,18 +117,22 @@ def test_lines_linked_only_through_a_hub(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in got) == [n for n in range(len(every)) if root[n] != n]
 
 
-def test_cell_links_equal_brute_force():
+@pytest.mark.parametrize("pairs", [1 << 18, 7])
+def test_block_links_equal_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(blocks, "PAIRS", pairs)
     rng = np.random.default_rng(12)
-    texts, part = [], []
+    texts, part = [""], [0]
     for _ in range(12):
         base = "".join(rng.choice(list("abcdefghij "), 120))
         texts += [base[: k - 4] + base[k:] for k in rng.integers(4, 120, 4).tolist()]
         part += [len(part)] * 2 + [len(part) + 2, len(part) + 3]
-    part, side = np.array(part), rng.integers(0, 2, len(texts))
-    for sides in (side, np.full(len(texts), 2)):
-        sets = [{lines.even(x)[k : k + 7] for k in range(len(lines.even(x)) - 6)} for x in texts]
-        ok = [(i, j) for i in range(len(texts)) for j in range(i) if (sides[i] == 2 or sides[i] != sides[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-        assert ok and _roots(len(texts), [(part[i], part[j]) for i, j in ok]) == _roots(len(texts), lines.cell_links(texts, part, sides, 4, 5))
+    part, cell = np.array(part), rng.integers(0, 2, len(texts))
+    sets = lines.line_sets(pa.array(texts))
+    plain = [{lines.even(x)[k : k + 7] for k in range(len(lines.even(x)) - 6)} for x in texts]
+    for side in (rng.integers(0, 2, len(texts)), np.full(len(texts), 2)):
+        ok = [(i, j) for i in range(len(texts)) for j in range(i) if cell[i] == cell[j] and (side[i] == 2 or side[i] != side[j]) and plain[i] & plain[j] and 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])]
+        top = int(part.max()) + 1
+        assert ok and _roots(top, [(part[i], part[j]) for i, j in ok]) == _roots(top, blocks.part_links(sets, cell, part, side, 4, 5))
 
 
 def test_archive(spark):

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 BLOCK = 256
 #: Items of a block's sets, together; a larger set has a block of its own.
 ITEMS = 1 << 22
+#: Characters of blocks that are verified together, if a block isn't longer; counts of points held for them; pairs listed at a
+#: time.
+CHARS, CELLS, PAIRS = 1 << 19, 1 << 22, 1 << 18
 
 Sets = Callable[[pa.Array], Iterable[np.ndarray]]
 
@@ -40,56 +43,80 @@ def squares(rows: DataFrame, blocks: Column, *keep: str) -> DataFrame:
 
 
 def overlap_points(sets: list[np.ndarray]) -> np.ndarray:
-    """Each set's counts of items by group; the smaller counts of two sets sum to their overlap at least. As many groups as a
-    larger set has items keep the bound close."""
-    groups = 1 << min(14, max(7, max(map(len, sets), default=0).bit_length()))
-    return np.array([np.bincount(((s >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets], np.int32).reshape(-1, groups)
-
-
-def part_links(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Components of a block that its similar sets link, in pairs: enough of them to join all that any of its pairs would.
-    sets: sorted, without repeats; part: component of each; side: 0 or 1 if only sets of different sides are to be compared,
-    else 2. Similar: den * overlap >= num * union, with an overlap."""
+    """Each set's counts of items by group; the smaller counts of two sets sum to their overlap at least. About as many groups as
+    a large set has items keep the bound close, as far as CELLS allows."""
+    want = max(map(len, sets), default=0).bit_length()
+    groups = 1 << max(6, min(want, (CELLS // max(1, len(sets))).bit_length() - 1))
+    at = np.repeat(np.arange(len(sets)) * groups, [s.size for s in sets])
+    group = (np.concatenate(sets) >> np.uint64(20)) & np.uint64(groups - 1) if sets else np.zeros(0, np.uint64)
+    return np.bincount(at + group.astype(np.int64), minlength=len(sets) * groups).astype(np.int32).reshape(-1, groups)
+
+
+def part_links(sets: list[np.ndarray], cell: np.ndarray, part: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Components that similar sets of one cell link, in pairs: enough of them to join all that any pair would. sets: sorted,
+    without repeats; cell, part: numbers of each one's cell and component; side: 0 or 1 if only sets of different sides are to be
+    compared, else 2. Similar: den * overlap >= num * union, with an overlap."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     points = overlap_points(sets)
-    order = np.argsort(size, kind="stable")
-    size, points, side, root = size[order], points[order], side[order], part[order].copy()
-    # the larger of two similar sets is at most den / num times the smaller
-    stop = np.searchsorted(size * num, size * den, side="right")
-    out = []
-    for i in np.flatnonzero(size).tolist():
-        j = np.arange(i + 1, stop[i])
-        j = j[(root[j] != root[i]) & ((side[j] == 2) | (side[j] != side[i]))]
-        if j.size:
-            j = j[np.minimum(points[i], points[j]).sum(axis=1) * (num + den) >= num * (size[i] + size[j])]
-        for k in j.tolist():
-            if root[k] != root[i]:
-                shared = np.intersect1d(sets[order[i]], sets[order[k]], assume_unique=True).size
-                if shared and shared * (num + den) >= num * (size[i] + size[k]):
-                    out.append((int(min(root[i], root[k])), int(max(root[i], root[k]))))
-                    root[root == out[-1][1]] = out[-1][0]
+    order = np.lexsort([size, cell])
+    order = order[size[order] > 0]
+    size, cell, part, side = size[order], cell[order], part[order], side[order]
+    # candidates of a set follow it in its cell; the larger of two similar ones is at most den / num times the smaller
+    rank = np.unique(cell, return_inverse=True)[1].astype(np.int64) * (int(size.max(initial=0)) * den + den)
+    stop = np.searchsorted(rank + size * num, rank + np.minimum(size * den, int(size.max(initial=0)) * num), side="right")
+    count = stop - np.arange(size.size) - 1
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out, first, step = [], 0, max(1, CELLS // points.shape[1] // 4)
+    ends = np.cumsum(count)
+    while first < size.size:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, side="right")))
+        a = np.repeat(np.arange(first, last), count[first:last])
+        b = a + 1 + np.arange(a.size) - np.repeat(np.cumsum(count[first:last]) - count[first:last], count[first:last])
+        first = last
+        ok = (part[a] != part[b]) & ((side[a] == 2) | (side[a] != side[b]))
+        a, b = a[ok], b[ok]
+        for x in range(0, a.size, step):
+            i, j = a[x : x + step], b[x : x + step]
+            near = np.minimum(points[order[i]], points[order[j]]).sum(axis=1) * (num + den) >= num * (size[i] + size[j])
+            for i, j in zip(i[near].tolist(), j[near].tolist()):
+                one, other = root(int(part[i])), root(int(part[j]))
+                if one != other:
+                    shared = np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True).size
+                    if shared and shared * (num + den) >= num * (size[i] + size[j]):
+                        out.append((min(one, other), max(one, other)))
+                        parent[out[-1][1]] = out[-1][0]
     return out
 
 
 def verified(rows: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
-    """rows(key, low, high, side, id, part) and texts(id, text) as links(a, b) between parts. A block's texts are streamed to
-    its task in the order of blocks; an id with several texts has a row for each."""
+    """rows(key, low, high, side, id, part) and texts(id, text) as links(a, b) between parts. Blocks are streamed to their tasks
+    one after the other and verified some at a time; an id with several texts has a row for each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part, side, held = None, [], [], []
+        now, cell, held, chars = None, 0, ([], [], [], []), 0
 
         def out() -> pa.RecordBatch:
-            links = part_links(list(sets(pa.array(held, pa.large_string()))), np.array(part, np.int64), np.array(side, np.int64), num, den) if len(held) > 1 else []
+            cells, part, side, text = held
+            links = part_links(list(sets(pa.array(text, pa.large_string()))), *(np.array(x, np.int64) for x in (cells, part, side)), num, den) if text else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
             for key, low, high, s, p, text in zip(*(c.to_pylist() for c in b.columns)):
                 if (key, low, high) != now:
-                    yield out()
-                    now, part, side, held = (key, low, high), [], [], []
-                part.append(p)
-                side.append(s)
-                held.append(text)
+                    now, cell = (key, low, high), cell + 1
+                    if chars >= CHARS:
+                        yield out()
+                        held, chars = ([], [], [], []), 0
+                for column, x in zip(held, (cell, p, s, text)):
+                    column.append(x)
+                chars += len(text or "")
         yield out()
 
     placed = rows.join(texts, "id").select("key", "low", "high", "side", "part", "text").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")

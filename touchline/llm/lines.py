@@ -6,9 +6,9 @@ the candidates: at similarity 0.8 a pair shares a band with probability 0.998. P
 their shingle sets, verified pairs are joined by distributed union-find, and of each component the occurrence in the least
 (doc_id, line number) stays. Equal lines are one class from the start.
 
-Links are looked for twice: first each line of a band's cell against the first one and the one before it by size, which joins
-most groups without comparing all their members; then, in cells that still hold different components, all pairs of lines of
-different components. Pairs within one component cannot change the result and are skipped.
+Links are looked for twice: first each line of a band's cell against the cell's shortest one, which joins most groups without
+comparing all their members; then, in cells that still hold different components, all pairs of lines of different components.
+Pairs within one component cannot change the result and are skipped.
 
 Rows: a null text stays null, and lines without a word always stay; lines shorter than a shingle match only equal ones; texts
 and lines of any length are used whole; rows that repeat a doc_id are one document, each losing the same lines; rows with a
@@ -25,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .chunks import POWERS, _powers, mix
-from .common import components, likely, table, unlikely, written
+from .common import components, finished, likely, table, unlikely, written
 
 #: Characters of a shingle; bands and their rows.
 CHARS, BANDS, ROWS = 7, 12, 4
 BINS = BANDS * ROWS
-#: Characters of lines that are signed or compared at a time, if a line isn't longer.
+#: Characters of lines that are signed at a time, if a line isn't longer.
 WINDOW = 400_000
-#: Lines of a cell that are compared in one task with as many others, and groups of shingles whose counts bound an overlap.
-BLOCK, GROUPS = 512, 64
+#: Lines of a cell that are compared in one task with as many others.
+BLOCK = 512
 _ODD = np.uint64(0xD1342543DE82EF95)
 
 
@@ -117,105 +118,30 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, line int, digest binary, size int, bands array<int>")
 
 
-def agree(xs: list[str], ys: list[str], num: int, den: int) -> np.ndarray:
-    """Whether the shingle sets of each x and its y are similar. All pairs are sorted at once, by keys of the pair's number,
-    as many bits of the shingle's hash as fit, and the side."""
-    n = len(xs)
-    h, begin = shingles(xs + ys)
-    size = np.diff(begin)
-    bits = np.uint64(max(1, n.bit_length()))
-    pair = np.repeat(np.tile(np.arange(n, dtype=np.uint64), 2), size)
-    side = np.repeat(np.repeat(np.array([0, 1], np.uint64), n), size)
-    key = np.sort((pair << (np.uint64(64) - bits)) | ((h >> bits) & ~np.uint64(1)) | side)
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    pair = (key >> (np.uint64(64) - bits)).astype(np.int64)
-    twin = (key[:-1] & np.uint64(1) == 0) & (key[1:] == key[:-1] + np.uint64(1))
-    shared = np.bincount(pair[:-1][twin], minlength=n)
-    return den * shared >= num * (np.bincount(pair, minlength=n) - shared)
+def line_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sets of shingles of lines, sorted. All are sorted at once, by keys of the line's number and as many bits of the
+    shingle's hash as fit."""
+    h, begin = shingles([even(t) for t in texts.to_pylist()])
+    bits = np.uint64(max(1, len(texts).bit_length()))
+    key = np.sort((np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(begin)) << (np.uint64(64) - bits)) | (h >> bits))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if key.size else key
+    line = (key >> (np.uint64(64) - bits)).astype(np.int64)
+    return np.split(key & (np.uint64(2**64 - 1) >> bits), np.searchsorted(line, np.arange(1, len(texts))))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs(a, b), those whose lines texts(cid, text) have similar shingle sets."""
-    both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            xs, ys = ([even(t) for t in b.column(i).to_pylist()] for i in (2, 3))
-            keep, i, chars = [], 0, 0
-            for j, (x, y) in enumerate(zip(xs, ys), 1):
-                chars += len(x) + len(y)
-                if chars >= WINDOW or j == len(xs):
-                    keep += agree(xs[i:j], ys[i:j], num, den).tolist()
-                    i, chars = j, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def cell_links(texts: list[str], part: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Components of a cell that its similar lines link, in pairs: enough of them to join all that any of its pairs would.
-    part: component of each line; side: 0 or 1 if only lines of different sides are to be paired, else 2."""
-    h, begin = shingles([even(t) for t in texts])
-    line = np.repeat(np.arange(len(texts)), np.diff(begin))
-    order = np.lexsort([h, line])
-    h, line = h[order], line[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
-    h, line = h[new], line[new]
-    size = np.bincount(line, minlength=len(texts))
-    sets = np.split(h, np.cumsum(size)[:-1])
-    points = np.bincount(line * GROUPS + ((h >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64), minlength=len(texts) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
-    order = np.argsort(size, kind="stable")
-    size, points, side, root = size[order], points[order], side[order], part[order].copy()
-    # the larger of two similar sets is at most den / num times the smaller, and their smaller counts sum to their overlap at least
-    stop = np.searchsorted(size * num, size * den, side="right")
-    out = []
-    for i in range(size.size - 1):
-        j = np.arange(i + 1, stop[i])
-        j = j[(root[j] != root[i]) & ((side[j] == 2) | (side[j] != side[i]))]
-        j = j[np.minimum(points[i], points[j]).sum(axis=1) * (num + den) >= num * (size[i] + size[j])]
-        for k in j.tolist():
-            if root[k] != root[i]:
-                shared = np.intersect1d(sets[order[i]], sets[order[k]], assume_unique=True).size
-                if shared * (num + den) >= num * (size[i] + size[k]):
-                    out.append((int(min(root[i], root[k])), int(max(root[i], root[k]))))
-                    root[root == out[-1][1]] = out[-1][0]
-    return out
-
-
-def _apart_links(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, low, high, side, part, text) sorted by cell and block pair; a cell's rows may go on in the next batch."""
-    now, part, side, texts = None, [], [], []
-
-    def out() -> pa.RecordBatch:
-        links = cell_links(texts, np.array(part, np.int64), np.array(side, np.int64), num, den) if texts else []
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    for b in batches:
-        for key, low, high, s, p, text in zip(*(c.to_pylist() for c in b.columns)):
-            if (key, low, high) != now:
-                yield out()
-                now, part, side, texts = (key, low, high), [], [], []
-            part.append(p)
-            side.append(s)
-            texts.append(text)
-    yield out()
-
-
-def links_between(cells: DataFrame, part: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Components, a and b, that any two similar lines of one of cells(key, cid, size) link. Large cells are cut to blocks,
-    compared two by two; of cells with the same lines one is enough."""
+def apart_cells(cells: DataFrame, part: DataFrame) -> DataFrame:
+    """Blocks of the cells(key, cid, size) that hold different components of part(node, component). Of cells with the same lines
+    one is enough."""
     told = cells.join(part.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", "size", F.coalesce("component", "cid").alias("part"))
     told = written(told, "line-cells-told")
     same = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"_h{i}") for i in (0, 1)]
     stats = told.groupBy("key").agg(F.min("part").alias("_x"), F.max("part").alias("_y"), F.count("*").alias("_k"), F.sum("size").alias("_chars"), *same).where("_x <> _y")
     one = stats.groupBy("_h0", "_h1", "_k").agg(F.min_by(F.struct("key", "_chars"), "key").alias("_c"))
-    blocks = F.greatest(F.ceil(F.col("_k") / BLOCK), F.ceil(F.col("_c._chars") / WINDOW)).cast("int")
-    apart = told.join(one.select(F.col("_c.key").alias("key"), blocks.alias("_n")), "key").join(texts, "cid")
-    apart = apart.withColumn("_b", F.pmod(F.xxhash64("cid"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
-    rows = apart.select("key", F.least("_b", "_o").alias("low"), F.greatest("_b", "_o").alias("high"), side.alias("side"), "part", "text")
-    placed = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return placed.mapInArrow(lambda it: _apart_links(it, num, den), "a long, b long").distinct()
+    count = F.greatest(F.ceil(F.col("_k") / BLOCK), F.ceil(F.col("_c._chars") / blocks.ITEMS)).cast("int")
+    apart = told.join(one.select(F.col("_c.key").alias("key"), count.alias("_blocks")), "key").select("key", F.col("cid").alias("id"), "part", "_blocks")
+    out = written(blocks.squares(apart, F.col("_blocks"), "part"), "line-apart")
+    finished(told)
+    return out
 
 
 def removals(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -231,38 +157,43 @@ def removals(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     banded = classes.select("cid", "size", F.posexplode("bands").alias("_band", "_key")).select("cid", "size", key.alias("key"))
     cell = Window.partitionBy("key").orderBy("size", "cid")
     times = F.count("*").over(cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    met = written(banded.select("key", "cid", "size", F.first("cid").over(cell).alias("_f"), F.lag("cid").over(cell).alias("_p"), times.alias("_k")).where("_k > 1"), "line-cells")
-    pairs = met.where("_p is not null").select(F.explode(F.array("_f", "_p")).alias("a"), F.col("cid").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "line-pairs")
+    met = written(banded.select("key", "cid", "size", F.first("cid").over(cell).alias("first"), times.alias("_k")).where("_k > 1"), "line-cells")
+    pairs = written(met.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct(), "line-pairs")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    ids = met.select("cid").distinct()
     asked = written(classes.join(ids, "cid", "left_semi").select("cid", F.col("at.doc_id").alias("_doc"), F.col("at.line").alias("_line")), "asked")
     held = likely(docs, asked.select(F.col("_doc").alias("id")).distinct(), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("_n", "text"))
     held = likely(held.withColumn("_at", F.xxhash64("doc_id", "_n")), asked.select(F.xxhash64("_doc", "_line").alias("id")), "_at")
     # rows that repeat a doc_id give one text; the join's own partitioning serves to drop the others
     texts = held.join(asked, (F.col("doc_id") == F.col("_doc")) & (F.col("_n") == F.col("_line"))).dropDuplicates(["doc_id", "_n", "cid"])
-    texts = written(texts.select("cid", "text"), "line-texts")
-    part = written(components(similar(pairs, texts, num, den), "lines"), "line-parts")
-
-    # cells in which components are still apart; in one of up to three lines all pairs were compared
-    more = components(links_between(met.where("_k > 3").select("key", "cid", "size"), part, texts, num, den), "line-parts")
-    more = more.select(F.col("node").alias("_root"), F.col("component").alias("_to"))
+    texts = written(texts.select(F.col("cid").alias("id"), "text"), "line-texts")
+    links = written(blocks.verified(blocks.stars(pairs, BLOCK).withColumn("part", F.col("id")), texts, line_sets, num, den), "line-links")
+    part = written(components(links, "lines"), "line-parts")
+    finished(pairs, asked, links)
+
+    # cells in which components are still apart; in one of two lines both were compared
+    meet = apart_cells(met.where("_k > 2").select("key", "cid", "size"), part)
+    links = written(blocks.verified(meet, texts, line_sets, num, den), "line-links")
+    finished(meet, met, texts)
+    more = components(links, "line-parts").select(F.col("node").alias("_root"), F.col("component").alias("_to"))
     lone = more.join(part.select(F.col("node").alias("_root")), "_root", "left_anti").select(F.col("_root").alias("node"), F.col("_to").alias("component"))
-    part = part.join(more, F.col("component") == F.col("_root"), "left").select("node", F.coalesce("_to", "component").alias("component")).unionByName(lone)
-    part = written(part, "line-parts")
+    both = part.join(more, F.col("component") == F.col("_root"), "left").select("node", F.coalesce("_to", "component").alias("component")).unionByName(lone)
+    both = written(both, "line-parts")
+    finished(part, links)
 
     # of each component the least occurrence stays
-    told = classes.where("times > 1").select("cid").unionByName(part.select(F.col("node").alias("cid"))).distinct()
-    told = classes.select("cid", "digest", "at").join(told, "cid", "left_semi").join(part.select(F.col("node").alias("cid"), "component"), "cid", "left")
+    told = classes.where("times > 1").select("cid").unionByName(both.select(F.col("node").alias("cid"))).distinct()
+    told = classes.select("cid", "digest", "at").join(told, "cid", "left_semi").join(both.select(F.col("node").alias("cid"), "component"), "cid", "left")
     told = told.select("digest", "at", F.coalesce("component", "cid").alias("component"))
     keeper = told.groupBy("component").agg(F.min("at").alias("stays"))
     goes = written(told.join(keeper, "component").select("digest", "stays"), "line-keepers")
+    finished(classes, both)
     return every.select("doc_id", "line", "digest").join(goes, "digest").where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line"))).select("doc_id", "line")
 
 
 def dedup(docs: DataFrame, num: int = 4, den: int = 5, lines: str = "_lines", removed: str = "_removed") -> DataFrame:
     """docs with every column, its text without the lines that go, and the numbers of its lines and of those removed."""
-    gone = removals(docs, num, den).distinct().groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone"))
+    gone = removals(docs, num, den).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone"))
     gone = written(gone, "gone")
     # documents that lose no line aren't moved for the join
     ids = gone.select(F.col("_gone_id").alias("id"))

@@ -38,7 +38,8 @@ def _window(data: np.ndarray, begin: np.ndarray) -> Iterator[np.ndarray]:
     for i in range(n):
         a, b = int(first[i]), int(first[i + 1])
         if b - a >= WORDS:
-            yield np.unique(run[a : b - WORDS + 1])
+            held = np.sort(run[a : b - WORDS + 1])
+            yield held[np.concatenate([[True], held[1:] != held[:-1]])]
         elif b > a:
             whole = np.uint64(b - a)
             for x in h[a:b]:
