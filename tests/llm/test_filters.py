@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 
@@ -41,15 +42,15 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert kept == {r[0] for r in clean}
 
 
-def _mcd(x, share, steps):
-    """Concentration steps with exact quantiles, in numpy."""
+def _mcd(x, share, cov):
+    """Concentration steps with exact quantiles, in numpy, until nothing changes: location, scatter, log-determinant."""
     mean = np.median(x, axis=0)
-    cov = np.diag((1.4826 * np.median(np.abs(x - mean), axis=0)) ** 2)
-    for _ in range(steps):
+    h = max(int(np.ceil(share * len(x))), (len(x) + x.shape[1] + 1) // 2)
+    for _ in range(100):
         d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        near = x[d <= np.sort(d)[int(np.ceil(share * len(x))) - 1]]
+        near = x[d <= np.sort(d)[h - 1]]
         mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * outliers.consistency(share, x.shape[1])
-    return mean, cov
+    return mean, cov, np.linalg.slogdet(cov)[1]
 
 
 def test_estimates_equal_concentration_steps_in_numpy(spark):
@@ -58,9 +59,28 @@ def test_estimates_equal_concentration_steps_in_numpy(spark):
     x[:400] += 30
     df = spark.createDataFrame([("g", 1.0, float(a), float(b)) for a, b in x], "_group string, _weight double, p double, q double")
     r = outliers.estimates(df, {"p": 1e-4, "q": 1e-4}).first()
-    mean, cov = _mcd(x, outliers.SHARE, outliers.STEPS)
-    assert np.allclose(r["_mean"], mean, atol=0.02) and np.allclose(np.linalg.inv(np.array(r["_inv"])), cov, rtol=0.03)
+    found = r["_models"][0]
+    spread = 1.4826 * np.median(np.abs(x - np.median(x, axis=0)), axis=0)
+    starts = [np.array([[1, c], [c, 1]]) * np.outer(spread, spread) for c in (0.0, 0.3, -0.3, 0.6, 0.9)]
+    mean, cov, logdet = min((_mcd(x, outliers.SHARE, s) for s in starts), key=lambda m: m[2])
+    assert r["_n"] == 4000 and r["_h"] == 3000
+    assert np.allclose(found["mean"], mean, atol=0.02) and np.allclose(np.linalg.inv(np.array(found["inv"])), cov, rtol=0.05)
+    assert found["logdet"] <= logdet + 0.02  # no numpy start finds a lesser determinant
     assert np.allclose(mean, [1, 2], atol=0.1)  # the outliers don't shift it
+    again = outliers.estimates(df.repartition(5), {"p": 1e-4, "q": 1e-4}).first()["_models"][0]
+    assert np.allclose(again["mean"], found["mean"], rtol=1e-9)  # nor does the way that rows are dealt
+
+
+def test_estimates_of_small_and_constant_groups(spark):
+    rows = [("one", 1.0, 5.0, 5.0)] + [("two", 1.0, float(i), 0.0) for i in range(2)] + [("flat", 1.0, 1.0, 1.0)] * 40
+    got = {r["_group"]: r for r in outliers.estimates(spark.createDataFrame(rows, "_group string, _weight double, p double, q double"), {"p": 0.1, "q": 0.1}).collect()}
+    assert {k: (r["_n"], r["_h"]) for k, r in got.items()} == {"one": (1, 1), "two": (2, 2), "flat": (40, 30)}
+    assert got["one"]["_models"][0]["mean"] == [5.0, 5.0] and got["two"]["_models"][0]["mean"] == [0.5, 0.0]
+    assert np.isfinite(np.array(got["flat"]["_models"][0]["inv"])).all()
+
+
+def test_cutoff_is_a_quantile():
+    assert outliers.cutoff(0.05, 2) == pytest.approx(5.991, abs=1e-3) and outliers.cutoff(0.001, 6) == pytest.approx(22.458, abs=1e-3)
 
 
 def _labelled(spark):
@@ -91,6 +111,47 @@ def test_toxicity_learns_stems_and_folds(spark, docs, nothing):
     assert toxicity.clean(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, label int")).columns == docs.columns
 
 
+def test_hits_equal_brute_force():
+    rng = np.random.default_rng(9)
+    words = ["bad", "badly", "worse", "worst", "box", "fine", "badge"]
+    weights = {"badl": 2.0, "wors": 1.5, "worst": 3.0, "bad ": 1.0, "badg": 0.5}
+    exceptions = ["bad box", "worse fine", "fine badge"]
+    a = toxicity.Lexicon(weights, exceptions).automaton()
+    for _ in range(200):
+        text = f" {' '.join(rng.choice(words, rng.integers(1, 12)))} "
+        best = {}
+        for stem, w in weights.items():
+            for at in range(len(text)):
+                if text.startswith(f" {stem}", at):
+                    best[at] = max(w, best.get(at, 0.0))
+        spans = [(at, at + len(p) + 1) for p in exceptions for at in range(len(text)) if text.startswith(f" {p} ", at)]
+        left = {s: w for s, w in best.items() if not any(x <= s < y for x, y in spans)}
+        assert toxicity.hits(text, a) == (pytest.approx(sum(left.values())), len(left))
+
+
+def test_short_words_are_learned_and_samples_bounded(spark):
+    rows = [(i, f"ta lo {'xy' if i % 3 == 0 else 'xyz'} mi ne ru{i % 7}", int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", F.col("toxic").alias("label"))
+    lex = toxicity.learn(df, labels)
+    assert set(lex.weights) == {"xy "}
+    many = df.unionByName(df).unionByName(df.withColumn("text", F.lit("zz")))
+    got = toxicity.sample(many, labels, 50)
+    assert got.count() == 50
+    assert toxicity.sample(many, labels.unionByName(labels), 500).count() == 90
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+@pytest.mark.parametrize("query, column, least", [(gam.query, "quality", 0.95), (toxicity.query, "toxic", 0.9)])
+def test_held_out_accuracy(spark, query, column, least):
+    scored = query(spark, DATA).where("held_out").join(spark.read.parquet(f"{DATA}/labels.parquet").where(f"{column} is not null"), "doc_id")
+    hit, n = scored.agg(F.avg((F.col("predicted") == F.col(column)).cast("int")), F.count("*")).first()
+    assert n > 20 and hit >= least
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(3)
     x = rng.uniform(0, 1, (3000, 4))

@@ -22,5 +22,6 @@ def test_run(spark, docs, tmp_path):
     out = P.run(spark, str(tmp_path))
     ids = {r["doc_id"] for r in out.collect()}
     assert 5 in ids and not ids & {60, 61, 70}  # near and exact copies of 5 and 7 are gone
+    assert P._left == set()  # and so are all scratch tables of the stages
 
 

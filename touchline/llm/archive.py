@@ -4,6 +4,9 @@ Each payload is stored once, under its SHA-256 digest; the exact header bytes of
 own with the digest of its payload. Original records come back by joining the two. A digest that two payloads of different
 length or SHA-1 share stops the writing, and a stored payload is digested again when it is read.
 
+Records are of the types that callers ask for, response and revisit, though a block is a bare payload without an HTTP head; dates
+and record ids are made from the row, so that the same pages give the same archive.
+
 Of records with equal payloads of at least min_bytes, the one with the largest page_id is the response and the others are
 revisits of it. Rows: a null html is an empty payload; payloads of any length are kept whole; smaller ones are responses
 each; rows that repeat the largest page_id are all responses; with null page_ids only, all are responses; null urls give an
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import scratch_path, table, written
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n"
@@ -72,20 +75,38 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record): each original record's exact bytes, header, block and end. A revisit has an empty block."""
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    both = records(spark, path).join(payloads(spark, path), "address")
-    return both.select("page_id", F.concat("header", block, F.lit(f"{END}{END}".encode())).alias("record"))
+    """(page_id, address, record): each original record's exact bytes, header, block and end. A revisit has an empty block, so its
+    header alone makes it, and payloads go only to the records that hold them."""
+    end = F.lit(f"{END}{END}".encode())
+    heads = records(spark, path)
+    full = heads.where("record_type <> 'revisit'").join(payloads(spark, path), "address").select("page_id", "address", F.concat("header", "payload", end).alias("record"))
+    return full.unionByName(heads.where("record_type = 'revisit'").select("page_id", "address", F.concat("header", end).alias("record")))
+
+
+def parsed(rebuilt: DataFrame) -> DataFrame:
+    """Records read back from their bytes: page_id, address, record_type, refers_to, size and sha1 of the block. One whose length or
+    digest isn't what its header says stops the reading."""
+    head = F.substring_index(F.decode("record", "UTF-8"), f"{END}{END}", 1)
+    cut = rebuilt.select("page_id", "address", "record", head.alias("_text")).withColumn("_at", F.octet_length("_text") + 4)
+    # the end is four bytes, too
+    block = cut.select("page_id", "address", "_text", F.substring(F.col("record"), F.col("_at") + 1, F.length("record") - F.col("_at") - 4).alias("_block"))
+    get = lambda name, pattern: F.regexp_extract("_text", rf"(?m)^{name}: {pattern}\r?$", 1)
+    rows = block.select(
+        "page_id", "address", get("WARC-Type", r"(\w+)").alias("record_type"), F.expr("try_cast(nullif(regexp_extract(_text, '(?m)^WARC-Refers-To: <urn:page:(-?[0-9]+)>', 1), '') as bigint)").alias("refers_to"),
+        F.length("_block").cast("long").alias("size"), F.sha1("_block").alias("sha1"), get("WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("_sha1"), get("Content-Length", r"(\d+)").cast("long").alias("_size"),
+    )
+    whole = (F.col("size") == F.col("_size")) & ((F.col("record_type") == "revisit") | (F.col("sha1") == F.col("_sha1")))
+    return rows.where(F.assert_true(whole, F.lit("a rebuilt record doesn't match its header")).isNull())
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """Both tables read back and checked against each other: page_id, payload_bytes, payload_digest, record_type, refers_to.
-    Payloads are digested before the join, so only narrow rows meet."""
-    sums = payloads(spark, path).select("address", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    both = records(spark, path).select("page_id", "address", "record_type", "refers_to", "sha1", "content_length").join(sums, "address")
-    whole = (F.col("sha1") == F.col("payload_digest")) & ((F.col("record_type") == "revisit") | (F.col("content_length") == F.col("payload_bytes")))
-    good = F.assert_true(whole, F.lit("a record's header doesn't match its payload"))
-    return both.where(good.isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The archive read back record by record: page_id, payload_bytes, payload_digest, record_type, refers_to. All come from rebuilt
+    records; a revisit's payload is that of the response with its address, which is looked up by narrow rows."""
+    rows = written(parsed(reconstruct(spark, path)), "records")
+    full, again = rows.where("record_type <> 'revisit'"), rows.where("record_type = 'revisit'")
+    held = full.groupBy("address").agg(F.min("size").alias("size"), F.min("sha1").alias("sha1"))
+    every = full.unionByName(again.drop("size", "sha1").join(held, "address").select(*rows.columns))
+    return every.select("page_id", F.col("size").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

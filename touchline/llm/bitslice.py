@@ -6,8 +6,9 @@ adders, weighing each slice with the bits of the query's integer; a negative one
 everything stays unsigned and a constant is added at the end. The largest rows are selected from the most significant slice
 of the sums downward; rows that tie at the boundary are resolved exactly, smaller vec_id first.
 
-Query vectors and index blocks meet block by block in one equi-join, every block of queries with every block of the index;
-each meeting keeps k rows for each query, and Spark ranks those.
+The index is a table of blocks as slices: bitmaps, least values, ids. A copy of each block of queries is addressed to each block
+of the index, by number, and they meet in an equi-join on it; the pairs of a block follow each other in its task. Each meeting
+keeps k rows for each query, and Spark ranks those. Comparing every query with every row is the work that is asked for.
 
 Rows: vectors that are null, empty or hold a null or non-finite component take no part, nor do null vec_ids; only vectors of
 equal length meet; a row that repeats a vec_id is a candidate of its own, but never of a query with that vec_id, and a query
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Rows of an index block, and queries of a query block.
-BLOCK, ASK = 8192, 256
+BLOCK, ASK = 8192, 2048
+#: Tasks that the index's blocks are dealt to at most.
+TASKS = 10_000
 
 
 def slices(values: np.ndarray, bits: int) -> np.ndarray:
@@ -88,16 +91,28 @@ def select_top(sums: np.ndarray, live: np.ndarray, k: int) -> np.ndarray:
 
 
 class Block:
-    """One block of the index."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
-        self.ids, self.low = ids, values.min(axis=0)
-        span = values - self.low
-        self.bits = max(1, int(span.max(initial=0)).bit_length())
-        self.maps, self.full = slices(span, self.bits), (1 << self.bits) - 1
-        self.words = self.maps.shape[2]
+    """One block of the index: its ids, each dimension's least value, and the slices of what is above it."""
+
+    def __init__(self, ids: np.ndarray, low: np.ndarray, maps: np.ndarray) -> None:
+        self.ids, self.low, self.maps = ids, low, maps
+        self.bits, self.words = maps.shape[1:]
+        self.full = (1 << self.bits) - 1
         self.live = np.packbits(np.arange(self.words * 64) < len(ids), bitorder="little").view(np.uint64)
 
+    @classmethod
+    def of(cls, ids: np.ndarray, values: np.ndarray) -> Block:
+        low = values.min(axis=0)
+        span = values - low
+        return cls(ids, low, slices(span, max(1, int(span.max(initial=0)).bit_length())))
+
+    def packed(self) -> tuple[bytes, bytes, bytes, int]:
+        return self.ids.tobytes(), self.low.tobytes(), self.maps.tobytes(), self.bits
+
+    @classmethod
+    def unpacked(cls, ids: bytes, low: bytes, maps: bytes, bits: int) -> Block:
+        held = np.frombuffer(low, np.int64)
+        return cls(np.frombuffer(ids, np.int64), held, np.frombuffer(maps, np.uint64).reshape(held.size, bits, -1))
+
     def top(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(vec_id, score) of the k largest inner products with q, ties to smaller vec_ids, the query's own row aside."""
         size = np.abs(q)
@@ -130,33 +145,51 @@ def integers(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataF
     return vectors.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dims"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("values"))
 
 
-def _blocks(rows: DataFrame, size: int, tag: str) -> DataFrame:
-    """Rows gathered to blocks of about size rows: (dims, block, rows). Blocks are dealt by a hash of the id, so how many
+def _dealt(rows: DataFrame, size: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the number of a block of about size rows, and (dims, blocks). Blocks are dealt by a hash of the id, so how many
     there are depends on the row count alone."""
     counts = written(rows.groupBy("dims").agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int").alias("blocks")), f"{tag}-counts")
-    dealt = rows.join(F.broadcast(counts), "dims").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a row for each length of vectors
+    return rows.join(counts, "dims").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), counts
+
+
+def _values(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    pdf = pdf.sort_values("id", kind="stable")
+    return pdf["id"].to_numpy(np.int64), np.stack(pdf["values"].tolist()).astype(np.int64)
+
+
+def build(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index of candidates(id, dims, values), a row (dims, block, ids, low, maps, bits) a block, and (dims, blocks)."""
+    dealt, counts = _dealt(candidates, BLOCK, "slices")
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        values = np.stack(pdf["values"].tolist()).astype(np.int64)
-        return pd.DataFrame({"dims": [key[0]], "block": [key[1]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "rows": [values.tobytes()]})
+        ids, low, maps, bits = Block.of(*_values(pdf)).packed()
+        return pd.DataFrame({"dims": [key[0]], "block": [key[1]], "ids": [ids], "low": [low], "maps": [maps], "bits": [bits]})
 
-    return dealt.groupBy("dims", "block").applyInPandas(gather, "dims int, block int, ids binary, rows binary")
+    return written(dealt.groupBy("dims", "block").applyInPandas(gather, "dims int, block int, ids binary, low binary, maps binary, bits int"), "slices"), counts
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """candidates and queries(id, dims, values) as query_id, rank, vec_id, score."""
-    asked = queries.groupBy("id", "dims").agg(F.max("values").alias("values"))
-    index = written(_blocks(candidates, BLOCK, "slices"), "slices")
-    ask = written(_blocks(asked, ASK, "asked").select("dims", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")), "asked")
-    met = index.join(ask, "dims").repartition(F.col("dims"), F.col("block"), F.xxhash64("q_ids"))
+    index, counts = build(candidates)
+    asked, _ = _dealt(queries.groupBy("id", "dims").agg(F.max("values").alias("values")), ASK, "asked")
+
+    def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, values = _values(pdf)
+        return pd.DataFrame({"dims": [key[0]], "q_ids": [ids.tobytes()], "q_rows": [values.tobytes()]})
+
+    ask = written(asked.groupBy("dims", "block").applyInPandas(gather, "dims int, q_ids binary, q_rows binary"), "asked")
+    sent = ask.join(counts, "dims").select("dims", "q_ids", "q_rows", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # blocks are few and dear, so each is a task's own as far as possible; the join keeps the pairs of a block together
+    tasks = max(1, min(TASKS, counts.agg(F.sum("blocks")).first()[0] or 0))
+    met = index.repartition(tasks, "dims", "block").join(sent, ["dims", "block"])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, block = None, None
+        now, block = None, None
         for pdf in batches:
-            for dims, ids, rows, q_ids, q_rows in pdf[["dims", "ids", "rows", "q_ids", "q_rows"]].itertuples(index=False):
-                if last != (ids, rows):
-                    last, block = (ids, rows), Block(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64).reshape(-1, dims))
+            for dims, number, ids, low, maps, bits, q_ids, q_rows in pdf[["dims", "block", "ids", "low", "maps", "bits", "q_ids", "q_rows"]].itertuples(index=False):
+                if now != (dims, number):
+                    now, block = (dims, number), Block.unpacked(ids, low, maps, bits)
                 out = [(q, v, s) for q, x in zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(q_rows, np.int64).reshape(-1, dims)) for v, s in block.top(q, x, k)]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(np.int64)
 

@@ -1,7 +1,9 @@
 """Verification in blocks: groups of candidates are cut so that no task holds a whole group, and each block's texts move once.
 
 A star is a centre and members to be compared with it alone: members are dealt to blocks by a hash, and the centre goes once to
-each block. A group is compared with itself: its members are dealt to blocks that meet two by two. Within a block, pairs of one
+each block. A group is compared with itself: a small one is a block; of a large one, the members outside its largest component
+are dealt to blocks, all members to others, and each of the former meets each of the latter. Members of the largest component
+needn't meet each other, so a group of which nearly all are linked costs little more than its size. Within a block, pairs of one
 component are skipped, the others are bounded by group counts and then verified exactly, and a link joins their components for
 the pairs that follow; so a block gives fewer links than it has members, however many of its pairs are similar.
 """
@@ -34,12 +36,21 @@ def stars(pairs: DataFrame, block: int) -> DataFrame:
     return members.unionByName(centres).select("key", "low", F.lit(0).alias("high"), "side", "id")
 
 
-def squares(rows: DataFrame, blocks: Column, *keep: str) -> DataFrame:
-    """rows(key, id, keep...): all members of a key are to be compared. blocks: how many blocks its members are dealt to. Rows
-    (key, low, high, side, id, keep...); each member goes to every pair of blocks that its own is part of."""
-    dealt = rows.withColumn("_n", blocks.cast("int")).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
-    return dealt.select("key", F.least("_b", "_o").alias("low"), F.greatest("_b", "_o").alias("high"), side.alias("side"), "id", *keep)
+def meetings(rows: DataFrame, block: int, *keep: str) -> DataFrame:
+    """rows(key, id, part, size, keep...): all members of a key that are of different parts are to be compared. Rows (key, low,
+    high, side, id, part, keep...), for keys with several parts."""
+    by_part = rows.groupBy("key", "part").agg(F.count("*").alias("_c"), F.sum("size").alias("_z"))
+    by_key = by_part.groupBy("key").agg(F.max(F.struct("_c", "part")).alias("_m"), F.sum("_c").alias("_k"), F.sum("_z").alias("_z"), F.count("*").alias("_parts")).where("_parts > 1")
+    every = F.greatest(F.ceil(F.col("_k") / block), F.ceil(F.col("_z") / ITEMS))
+    minor = F.ceil(every * (F.col("_k") - F.col("_m._c")) / F.col("_k"))
+    known = rows.join(by_key.select("key", F.col("_m.part").alias("_major"), every.cast("int").alias("_every"), minor.cast("int").alias("_minor")), "key")
+    one = known.where("_every = 1").select("key", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(2).alias("side"), "id", "part", *keep)
+    large = known.where("_every > 1")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = large.where("part <> _major").select("key", own("_minor").alias("low"), others("_every").alias("high"), F.lit(0).alias("side"), "id", "part", *keep)
+    all_ = large.select("key", others("_minor").alias("low"), own("_every").alias("high"), F.lit(1).alias("side"), "id", "part", *keep)
+    return one.unionByName(few).unionByName(all_)
 
 
 def overlap_points(sets: list[np.ndarray]) -> np.ndarray:

@@ -57,10 +57,17 @@ def finished(*tables: DataFrame) -> None:
         _forget({_paths.pop(t)})
 
 
-def release(reading: DataFrame | None = None) -> None:
-    """Drops all scratch tables but those that `reading` reads: for the end of a piece of work whose result has been written."""
+def scratch_made() -> set[str]:
+    """Paths of the scratch tables that exist."""
+    return {path for _, path in _made}
+
+
+def release(paths: set[str] | None = None, reading: DataFrame | None = None) -> None:
+    """Drops scratch tables, all or those of paths, but none that `reading` reads: for the end of a piece of work whose result has
+    been written."""
     files = reading.inputFiles() if reading is not None else []
-    _forget({path for _, path in _made if not any(path.rsplit("/", 1)[1] in f for f in files)})
+    gone = scratch_made() if paths is None else paths
+    _forget({path for path in gone if not any(path.rsplit("/", 1)[1] in f for f in files)})
 
 
 def _forget(paths: set[str]) -> None:

@@ -252,5 +252,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: every document's quality score."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, training_labels(table(spark, sf_dir, "labels"), "quality", 4, 2))
-    held = F.expr("crc32(encode(cast(doc_id as string), 'UTF-8')) % 4 = 2").alias("held_out")
+    held = F.expr("coalesce(crc32(encode(cast(doc_id as string), 'UTF-8')) % 4 = 2, false)").alias("held_out")
     return score(docs, model, ["doc_id"]).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

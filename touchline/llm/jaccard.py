@@ -245,8 +245,8 @@ def candidate_groups(cells: DataFrame, part: DataFrame, points: DataFrame, num:
     same = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"_h{i}") for i in (0, 1)]
     stats = told.groupBy("token").agg(F.min("part").alias("_x"), F.max("part").alias("_y"), F.count("*").alias("_k"), *same).where("_x <> _y")
     one = stats.groupBy("_h0", "_h1", "_k").agg(F.min("token").alias("token"))
-    apart = told.join(one.select("token", F.ceil(F.col("_k") / BLOCK).alias("_blocks")), "token").select(F.col("token").alias("key"), F.col("cls").alias("id"), "n", "part", "_blocks")
-    rows = blocks.squares(apart.join(points.select(F.col("cls").alias("id"), "counts"), "id"), F.col("_blocks"), "n", "part", "counts")
+    apart = told.join(one.select("token"), "token").select(F.col("token").alias("key"), F.col("cls").alias("id"), "part", F.lit(0).alias("size"), "n")
+    rows = blocks.meetings(apart, BLOCK, "n").join(points.select(F.col("cls").alias("id"), "counts"), "id")
     placed = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     graph = placed.select("key", "low", "high", "side", "id", "n", "part", "counts").mapInPandas(lambda it: _cell_graph(it, num, den), "a long, b long")
     group = components(graph, "groups").select(F.col("node").alias("id"), F.col("component").alias("key"))
@@ -274,6 +274,8 @@ def join(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     held = cells.select(F.col("cls").alias("id")).distinct()
     # a doc_id that repeats with other texts has several points; each row meets all of them, its own among them
     points = written(likely(own.select("cls", "f1", "n", "counts"), held, "cls").join(held, F.col("cls") == F.col("id"), "left_semi").dropDuplicates(["cls", "f1"]).select("cls", "n", "counts"), "points")
+    sizes = written(every.select("doc_id", "n_shingles"), "sizes")
+    finished(every)
     size = f"cls <> centre and least(n, centre_n) * {den} >= greatest(n, centre_n) * {num}"
     pairs = written(near(cells.where(size).select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), points, num, den), "star")
     star = written(blocks.stars(pairs, blocks.BLOCK).withColumn("part", F.col("id")), "stars")
@@ -283,12 +285,11 @@ def join(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
 
     groups = candidate_groups(cells, part, points, num, den)
     finished(cells, points, part)
-    count = groups.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / blocks.BLOCK), F.ceil(F.sum("n") / blocks.ITEMS)).alias("_blocks"))
-    meet = written(blocks.squares(groups.join(count, "key"), F.col("_blocks"), "part"), "meet")
+    meet = written(blocks.meetings(groups.withColumn("size", F.col("n")), blocks.BLOCK), "meet")
     more = written(blocks.verified(meet, texts_of(docs, meet.select("id").distinct()), shingle_sets, num, den), "links")
     whole = written(components(links.unionByName(more), "all"), "all")
     finished(groups, meet, links, more, equal)
-    out = every.select("doc_id", "n_shingles").join(whole.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left")
+    out = sizes.join(whole.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -1,13 +1,19 @@
 """Quality rules by robust multivariate outliers, in DataFrame operations only.
 
-Texts become a few counts, then a vector of transformed shares. For each language and source a minimum-covariance-determinant
-estimate of location and scatter is found by concentration steps: from the coordinatewise medians, the h share of documents
-with the smallest Mahalanobis distances gives the next mean and covariance. A document is rejected if its distance from its
-group's estimate is too large. Shares of short texts scatter more, so a document's deviations are scaled by
-sqrt(n_words / (n_words + STEADY)). Scatter has a floor, so a coordinate that never varies in a group neither breaks the
-inverse nor rejects a document for one rare sign.
+Texts become a few counts, then a vector of transformed shares. For each language and source the minimum covariance determinant
+is looked for: of all subsets of h documents, the one whose covariance has the least determinant gives location and scatter.
+Three robust starts (scales of the coordinates alone, covariance of spatial signs, covariance of squashed deviations) each take
+two concentration steps: the h documents nearest by Mahalanobis distance give the next mean and covariance, which can only lower
+the determinant. The start with the least determinant goes on until no group's determinant falls any more. A document is
+rejected if its distance from its group's estimate is beyond a quantile of the chi-square distribution.
 
-Groups with fewer than min_group documents use their language's estimate, small languages the estimate of all documents.
+Shares of short texts scatter more, so a document's deviations are scaled by sqrt(n_words / (n_words + STEADY)). Scatter has a
+floor, so a coordinate that never varies in a group neither breaks the inverse nor rejects a document for one rare sign; it
+also serves groups of any size: h is all of a group of up to 7 documents, and one alone is its own centre and stays.
+
+Medians and the h nearest are found on fixed grids, from counts of documents by cell: they don't depend on how the rows are
+dealt, and a group's counts are summed before they are shuffled. Rows of a group are dealt over SALTS keys where they meet
+their estimate, so a group that holds a third of all rows is no one task's.
 
 Rows: a null or empty text has no words and fails the base rules; texts of any length are counted whole; null languages and
 sources are groups of their own; repeated rows and null doc_ids are judged each; other columns are not read; an empty table
@@ -21,13 +27,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import finished, table, written
 
 #: Words at which a text's own sampling scatter equals the scatter between texts.
 STEADY = 150.0
-#: Share of a group that the estimate rests on, concentration steps, and the distance (chi-square, 6 degrees) that rejects.
-SHARE, STEPS, CUTOFF = 0.75, 5, 55.0
-MIN_GROUP = 100
+#: Share of a group that the estimate rests on; steps of every start, and of the best one at most; fall of the logarithm of a
+#: determinant that counts as none; probability with which a document of its group would be rejected if all were normal.
+SHARE, FIRST, STEPS, SETTLED, TAIL = 0.75, 2, 20, 1e-4, 1e-9
+#: Keys that rows of a group are dealt to; cells of the grids to a unit, of coordinates and of logarithms of distances.
+SALTS, CELLS, LOG_CELLS = 64, 1000, 200
 #: The vector's coordinates and the least standard deviation of each.
 FLOORS = {"v_length": 0.08, "v_symbols": 0.02, "v_marks": 0.03, "v_upper": 0.05, "v_repeats": 0.08, "v_lines": 0.08}
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -95,119 +103,195 @@ def consistency(share: float, k: int) -> float:
     return share / chi_square(lo, k + 2)
 
 
+def cutoff(tail: float, k: int) -> float:
+    """The value that a chi-square variable exceeds with probability tail."""
+    lo, hi = 0.0, 1000.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if 1 - chi_square(mid, k) > tail else (lo, mid)
+    return hi
+
+
 def _inverse(matrix: Column, k: int) -> Column:
-    """Of a symmetric positive definite matrix, an array of rows, by Gauss-Jordan elimination beside the identity."""
+    """Of a symmetric positive definite matrix, its inverse and the logarithm of its determinant, by Gauss-Jordan elimination
+    beside the identity."""
     wide = F.transform(matrix, lambda row, i: F.concat(row, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.when(i == j, F.lit(1.0)).otherwise(F.lit(0.0)))))
+    start = F.struct(wide.cast("array<array<double>>").alias("m"), F.lit(0.0).alias("d"))
 
-    def step(m: Column, p: Column) -> Column:
-        lead = F.transform(F.get(m, p), lambda x: x / F.get(F.get(m, p), p))
-        return F.transform(m, lambda row, i: F.when(i == p, lead).otherwise(F.zip_with(row, lead, lambda x, y: x - F.get(row, p) * y)))
+    def step(s: Column, p: Column) -> Column:
+        m, pivot = s["m"], F.get(F.get(s["m"], p), p)
+        lead = F.transform(F.get(m, p), lambda x: x / pivot)
+        return F.struct(F.transform(m, lambda row, i: F.when(i == p, lead).otherwise(F.zip_with(row, lead, lambda x, y: x - F.get(row, p) * y))).cast("array<array<double>>").alias("m"), (s["d"] + F.log(pivot)).alias("d"))
 
-    kind = "array<array<double>>"
-    solved = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), wide.cast(kind), lambda m, p: step(m, p).cast(kind))
-    return F.transform(solved, lambda row: F.slice(row, k + 1, k))
+    solved = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), start, step)
+    return F.struct(F.transform(solved["m"], lambda row: F.slice(row, k + 1, k)).alias("inv"), solved["d"].alias("logdet"))
 
 
-def _distance(names: list[str]) -> Column:
-    """Squared Mahalanobis distance of the length-scaled deviations from _mean under _inv."""
-    dev = [F.col(n) - F.get("_mean", F.lit(i)) for i, n in enumerate(names)]
-    terms = [F.get(F.get("_inv", F.lit(i)), F.lit(j)) * dev[i] * dev[j] * (1.0 if i == j else 2.0) for i in range(len(names)) for j in range(i, len(names))]
+def _distance(names: list[str], model: Column) -> Column:
+    """Squared Mahalanobis distance of the length-scaled deviations from the model's mean, under its inverse scatter."""
+    dev = [F.col(n) - F.get(model["mean"], F.lit(i)) for i, n in enumerate(names)]
+    terms = [F.get(F.get(model["inv"], F.lit(i)), F.lit(j)) * dev[i] * dev[j] * (1.0 if i == j else 2.0) for i in range(len(names)) for j in range(i, len(names))]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
     return total * F.col("_weight")
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    """Each row once for its source and language, once for its language, once for all."""
-    return rows.withColumn("_group", F.explode(F.array(*_keys().values())))
+def _beside(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """rows(_group, ...) with the columns of models(_group, ...), a row a group. Spark broadcasts models if they are small;
+    otherwise rows of one group go to SALTS tasks, and its model to each."""
+    dealt = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")  # rows of a partition in turn
+    return rows.withColumn("_salt", salt).join(dealt, ["_group", "_salt"]).drop("_salt")
 
 
-def estimates(vectors: DataFrame, floors: dict[str, float], share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """vectors(_group, _weight, coordinates...) as _group, _n, _mean, _inv: robust location and inverse scatter of each
-    group. Groups are aggregated with partial sums and quantile sketches; no group is gathered."""
-    names, k = list(floors), len(floors)
-    # start: coordinatewise medians, and median deviations as a diagonal scatter
-    med = vectors.groupBy("_group").agg(F.count("*").alias("_n"), F.array(*(F.percentile_approx(n, 0.5, 2000) for n in names)).alias("_mean"))
-    off = vectors.join(med, "_group").groupBy("_group").agg(*(F.percentile_approx(F.abs(F.col(n) - F.get("_mean", F.lit(i))) * F.sqrt("_weight"), 0.5, 2000).alias(f"_m{i}") for i, n in enumerate(names)))
-    diagonal = F.array(*(F.array(*((1.0 / (F.pow(1.4826 * F.col(f"_m{i}"), 2) + floors[n] ** 2)) if i == j else F.lit(0.0) for j in range(k))) for i, n in enumerate(names)))
-    now = written(med.join(off.select("_group", diagonal.alias("_inv")), "_group"), "mcd")
-    factor = consistency(share, k)
-    for _ in range(steps):
-        far = vectors.join(now.select("_group", "_mean", "_inv"), "_group").withColumn("_d", _distance(names))
-        half = far.groupBy("_group").agg(F.percentile_approx("_d", share, 2000).alias("_h"))
-        near = far.select("_group", "_weight", "_d", *names).join(half, "_group").where("_d <= _h")
-        sums = near.groupBy("_group").agg(
-            F.sum("_weight").alias("_w"), F.count("*").alias("_k"), *(F.sum(F.col("_weight") * F.col(n)).alias(f"_s{i}") for i, n in enumerate(names)),
-            *(F.sum(F.col("_weight") * F.col(names[i]) * F.col(names[j])).alias(f"_q{i}_{j}") for i in range(k) for j in range(i, k)),
-        )
-        mean = [F.col(f"_s{i}") / F.col("_w") for i in range(k)]
+def _at(rows: DataFrame, keys: list[str], cell: str, rank: Column) -> DataFrame:
+    """(keys..., cell): the least cell up to which rows(keys..., cell) are rank or more. Counts are summed in the tasks first; a
+    group has as many as its grid has cells in use."""
+    n = rows.groupBy(*keys, cell).agg(F.count("*").alias("_k"))
+    cells = n.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(cell).alias("c"), F.col("_k").alias("k")))).alias("_cells"), F.sum("_k").alias("_n"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("c"))
+    step = lambda s, x: F.struct((s["n"] + x["k"]).alias("n"), F.when(s["c"].isNull() & (s["n"] + x["k"] >= rank), x["c"].cast("long")).otherwise(s["c"]).alias("c"))
+    return cells.select(*keys, F.aggregate("_cells", start, step)["c"].alias(cell))
 
-        def entry(i: int, j: int) -> Column:
-            a, b = min(i, j), max(i, j)
-            cov = (F.col(f"_q{a}_{b}") - F.col("_w") * mean[a] * mean[b]) / F.col("_k") * factor
-            return cov + floors[names[i]] ** 2 if i == j else cov
 
-        made = sums.select("_group", F.array(*mean).alias("_mean"), F.array(*(F.array(*(entry(i, j) for j in range(k))) for i in range(k))).alias("_cov"))
-        now = written(now.select("_group", "_n").join(made.select("_group", "_mean", _inverse(F.col("_cov"), k).alias("_inv")), "_group"), "mcd")
-    return now
+def _sums(names: list[str], values: list[Column], weight: Column, on: Column, tag: str) -> list[Column]:
+    k = len(names)
+    held = F.when(on, weight)
+    return [
+        F.count(F.when(on, 1)).alias(f"{tag}_k"), F.sum(held).alias(f"{tag}_w"), *(F.sum(held * v).alias(f"{tag}_s{i}") for i, v in enumerate(values)),
+        *(F.sum(held * values[i] * values[j]).alias(f"{tag}_q{i}_{j}") for i in range(k) for j in range(i, k)),
+    ]
+
+
+def _estimate(names: list[str], floors: dict[str, float], tag: str, factor: Column) -> Column:
+    """(mean, inv, logdet) from _sums: covariance about the mean, made consistent by factor, with the floors added."""
+    k = len(names)
+    mean = [F.try_divide(F.col(f"{tag}_s{i}"), F.col(f"{tag}_w")) for i in range(k)]
+
+    def entry(i: int, j: int) -> Column:
+        a, b = min(i, j), max(i, j)
+        cov = (F.col(f"{tag}_q{a}_{b}") - F.col(f"{tag}_w") * mean[a] * mean[b]) / F.col(f"{tag}_k") * factor
+        return F.greatest(cov, F.lit(0.0)) + floors[names[i]] ** 2 if i == j else cov
 
+    solved = _inverse(F.array(*(F.array(*(entry(i, j) for j in range(k))) for i in range(k))), k)
+    return F.struct(F.array(*mean).alias("mean"), solved["inv"].alias("inv"), solved["logdet"].alias("logdet"))
 
-def _name(column: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
+
+def estimates(vectors: DataFrame, floors: dict[str, float], share: float = SHARE, first: int = FIRST, steps: int = STEPS) -> DataFrame:
+    """vectors(_group, _weight, coordinates v_...) as (_group, _n, _h, _models): one robust estimate of location and inverse scatter
+    a group, in an array of one. No group is gathered."""
+    names, k = list(floors), len(floors)
+    n = F.col("_n")
+    half = F.least(n, F.greatest(F.ceil(n * share), F.floor((n + k + 1) / 2))).cast("long")
+    sizes = vectors.groupBy("_group").agg(F.count("*").alias("_n")).withColumn("_h", half)
+    # medians and median deviations of all coordinates
+    middle = F.floor((F.col("_n") + 1) / 2)
+
+    def medians(rows: DataFrame, values: list[Column]) -> DataFrame:
+        long = rows.select("_group", F.posexplode(F.array(*(F.floor(v * CELLS).cast("long") for v in values))).alias("_i", "_c"))
+        at = _at(long, ["_group", "_i"], "_c", middle)
+        return at.groupBy("_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda x: (x["_c"] + 0.5) / CELLS).alias("_m"))
+
+    centre = written(medians(vectors, [F.col(c) for c in names]), "mcd")
+    dev = lambda i, c: (F.col(c) - F.get("_m", F.lit(i))) * F.sqrt("_weight")
+    scale = written(medians(_beside(vectors, centre), [F.abs(dev(i, c)) for i, c in enumerate(names)]).withColumnRenamed("_m", "_mad"), "mcd")
+    spread = [F.sqrt((1.4826 * F.get("_mad", F.lit(i))) ** 2 + floors[c] ** 2) for i, c in enumerate(names)]
+    known = centre.join(scale, "_group")
+    rows = _beside(vectors, known)
+    z = [dev(i, c) / spread[i] for i, c in enumerate(names)]
+    norm = F.sqrt(sum((v * v for v in z), F.lit(1e-9)))
+    signs, squashed = [v / norm for v in z], [F.tanh(v) for v in z]
+    moments = rows.groupBy("_group").agg(F.count("*").alias("_n"), *(F.sum(u[i] * u[j]).alias(f"{t}{i}_{j}") for t, u in (("a", signs), ("b", squashed)) for i in range(k) for j in range(i, k)))
+    moments = moments.join(known, "_group")
+
+    def start(tag: str | None) -> Column:
+        """Scales of the coordinates, turned by the correlation of the transformed deviations if there is one."""
+        def entry(i: int, j: int) -> Column:
+            if i == j:
+                return spread[i] ** 2
+            if tag is None:
+                return F.lit(0.0)
+            q = lambda a, b: F.col(f"{tag}{min(a, b)}_{max(a, b)}")
+            return F.coalesce(0.9 * F.try_divide(q(i, j), F.sqrt(q(i, i) * q(j, j))), F.lit(0.0)) * spread[i] * spread[j]
+
+        solved = _inverse(F.array(*(F.array(*(entry(i, j) for j in range(k))) for i in range(k))), k)
+        return F.struct(F.col("_m").alias("mean"), solved["inv"].alias("inv"), solved["logdet"].alias("logdet"))
+
+    now = written(moments.select("_group", F.array(start(None), start("a"), start("b")).alias("_models")).join(sizes, "_group"), "mcd")
+    finished(centre, scale)
+    factor = F.when(F.col("_h") < F.col("_n"), F.lit(consistency(share, k))).otherwise(1.0)
+
+    def concentrate(now: DataFrame, count: int) -> DataFrame:
+        far = _beside(vectors, now).select("*", *(_distance(names, F.get("_models", F.lit(s))).alias(f"_d{s}") for s in range(count)))
+        cell = lambda s: F.floor(F.log(F.greatest(F.col(f"_d{s}"), F.lit(1e-12))) * LOG_CELLS).cast("long")
+        long = far.select("_group", "_h", F.posexplode(F.array(*(cell(s) for s in range(count)))).alias("_s", "_c"))
+        cuts = _at(long, ["_group", "_h", "_s"], "_c", F.col("_h")).groupBy("_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_c"))), lambda x: x["_c"]).alias("_cuts"))
+        cuts = written(now.join(cuts, "_group"), "mcd")
+        near = _beside(vectors, cuts).select("*", *(_distance(names, F.get("_models", F.lit(s))).alias(f"_d{s}") for s in range(count)))
+        sums = near.groupBy("_group").agg(*(c for s in range(count) for c in _sums(names, [F.col(x) for x in names], F.col("_weight"), cell(s) <= F.get("_cuts", F.lit(s)), f"_{s}")))
+        made = sums.join(now.select("_group", "_n", "_h"), "_group").select("_group", "_n", "_h", F.array(*(_estimate(names, floors, f"_{s}", factor) for s in range(count))).alias("_models"))
+        out = written(made, "mcd")
+        finished(cuts)
+        return out
+
+    for _ in range(first):
+        now, before = concentrate(now, 3), now
+        finished(before)
+    best = written(now.select("_group", "_n", "_h", F.array(F.array_sort("_models", lambda x, y: F.when(x["logdet"] < y["logdet"], -1).when(x["logdet"] > y["logdet"], 1).otherwise(0))[0]).alias("_models")), "mcd")
+    finished(now)
+    for _ in range(steps):
+        now = concentrate(best, 1)
+        fall = now.join(best.select("_group", F.col("_models")[0]["logdet"].alias("_was")), "_group").agg(F.max(F.col("_was") - F.col("_models")[0]["logdet"])).first()[0]
+        finished(best)
+        best = now
+        if fall is None or fall <= SETTLED:
+            break
+    return best
 
 
-def _keys() -> dict[str, Column]:
-    return {"2": F.concat(F.lit("2"), _name("lang"), F.lit("\x00"), _name("source")), "1": F.concat(F.lit("1"), _name("lang")), "0": F.lit("0")}
+def group_key() -> Column:
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.concat(name("lang"), F.lit("\x00"), name("source"))
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """docs(keep..., text, lang, source) as keep..., lang, source, the counts, the vector and its weight."""
-    own = docs.select(*keep, "text", "lang", "source")
-    return counts(own, [*keep, "lang", "source"]).select("*", *(c.alias(n) for n, c in vector().items()), (F.col("n_words") / (F.col("n_words") + STEADY)).alias("_weight"))
+    """docs(keep..., text, lang, source) as keep..., the group's key, the counts, the vector and its weight."""
+    own = docs.select(*keep, "text", group_key().alias("_group"))
+    return counts(own, [*keep, "_group"]).select("*", *(c.alias(n) for n, c in vector().items()), (F.col("n_words") / (F.col("n_words") + STEADY)).alias("_weight"))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def fitted(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(_key, _mean, _inv): for each pair of language and source the estimate of the finest level that is large enough. The
-    estimates are of documents that pass the base rules: what those reject can't shift them."""
-    found = estimates(_levels(stats.where(~base_failed())).select("_group", "_weight", *FLOORS), FLOORS)
-    pairs = stats.select("lang", "source").distinct().withColumns({f"_g{level}": c for level, c in _keys().items()})
-    for level in "210":
-        least = 1 if level == "0" else min_group
-        pairs = pairs.join(found.where(F.col("_n") >= least).select(F.col("_group").alias(f"_g{level}"), F.struct("_mean", "_inv").alias(f"_e{level}")), f"_g{level}", "left")
-    return written(pairs.select(F.col("_g2").alias("_key"), F.coalesce("_e2", "_e1", "_e0").alias("_e")).select("_key", "_e._mean", "_e._inv"), "mcd")
+def fitted(stats: DataFrame) -> DataFrame:
+    """(_group, _models): the estimates of documents that pass the base rules; what those reject can't shift them."""
+    return estimates(stats.where(~base_failed()).select("_group", "_weight", *FLOORS), FLOORS).select("_group", "_models")
 
 
-def verdicts(stats: DataFrame, models: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """stats with base_failed, distance and kept. The table of models has a row for each pair of language and source; Spark
-    broadcasts it if its files are small and else deals both sides by that pair."""
-    near = stats.withColumn("_key", _keys()["2"]).join(models, "_key", "left")
-    judged = near.select("*", base_failed().alias("base_failed"), F.coalesce(_distance(list(FLOORS)), F.lit(0.0)).alias("distance"))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
+def verdicts(stats: DataFrame, models: DataFrame, tail: float = TAIL) -> DataFrame:
+    """stats with base_failed, distance and kept. A group all of whose documents fail the base rules has no estimate."""
+    every = stats.select("_group").distinct().join(models, "_group", "left")
+    judged = _beside(stats, every).select("*", base_failed().alias("base_failed"), F.coalesce(_distance(list(FLOORS), F.get("_models", F.lit(0))), F.lit(0.0)).alias("distance"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff(tail, len(FLOORS))))
 
 
-def judge(docs: DataFrame, keep: list[str], cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], tail: float = TAIL) -> DataFrame:
     """docs(keep..., text, lang, source) as keep..., the counts, base_failed, kept and distance."""
     held = [f"_k{i}" for i in range(len(keep))]
     own = docs.select(*(F.col(c).alias(h) for c, h in zip(keep, held)), "text", "lang", "source")
     stats = written(statistics(own, held), "quality")
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
-    return verdicts(stats, fitted(stats, min_group), cutoff).select(*(F.col(h).alias(c) for c, h in zip(keep, held)), *columns)
+    return verdicts(stats, fitted(stats), tail).select(*(F.col(h).alias(c) for c, h in zip(keep, held)), *columns)
 
 
-def clean(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that are kept, with all their columns. Counts are taken again beside each text, which is cheaper than
-    moving the texts to their verdicts."""
-    models = fitted(written(statistics(docs, []), "quality"), min_group)
+def clean(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """The documents that are kept, with all their columns. Texts are counted once and written beside their counts; the estimates
+    read the counts only."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", "lang", "source")
-    # Spark pushes filters below deterministic projections, copying their expressions; a row number holds this one above
-    # the counts, so that each array of a text is made once
-    held = statistics(whole, ["_row"]).withColumn("_at", F.monotonically_increasing_id())
-    return verdicts(held, models, cutoff).where("kept and _at >= 0").select("_row.*")
+    stats = written(statistics(whole, ["_row"]).select("_row", "_group", "n_words", "n_repeat_words", "_weight", *FLOORS), "quality")
+    return verdicts(stats, fitted(stats), tail).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

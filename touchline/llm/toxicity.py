@@ -5,21 +5,24 @@ stand for letters inside words to those letters, everything else to spaces. One
 lexicon stems at word starts together with exception phrases; a stem inside an exception phrase doesn't count. The summed
 weights are divided by the text's length in words, and a logistic curve turns that density into a score.
 
-The lexicon (stems of at least 4 letters and their log-odds weights), the exception phrases and the curve are learned from a
-bounded sample of labelled rows (max_rows, lowest hashes of doc_id first); candidate stems are counted by Spark over that
-sample. Scores use the text alone.
+The lexicon, the exception phrases and the curve are learned from a bounded sample of labelled rows (max_rows, lowest hashes of
+doc_id first). An entry is a stem, 4 to 24 letters at the start of a word (a longer word is known by its first 24), or a whole
+word of fewer letters, with its log-odds as weight; all that occur in the sample are candidates and counted by Spark. Scores use
+the text alone.
 
 Rows: a null or empty text scores as a text without any hit; texts of any length are read whole; repeated rows and null
-doc_ids are scored each; labels that are null or without a document are not learned from; other columns are not read; an
+doc_ids are scored each, the latter never held out; labels that are null or without a document are not learned from; other columns are not read; an
 empty table gives no rows, and without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -33,10 +36,8 @@ from .common import table, written
 LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝвмнкт" "αεορνικτυχ", "aeopcyxijsdhqwbmhkt" "aeopviktux"))
 STANDS_FOR = dict(zip("0134578@$", "oieastbas"))
 
-#: Letters of a stem, at least and at most; toxic rows that must hold it; least log-odds; stems kept.
-SHORT, LONG, ROWS, ODDS, STEMS = 4, 12, 4, 2.0, 4_000
-#: Candidates that go on to be counted in clean rows.
-CANDIDATES = 60_000
+#: Letters of a stem, at least and at most; toxic rows that must hold an entry; least log-odds.
+SHORT, LONG, ROWS, ODDS = 4, 24, 4, 2.0
 
 
 class Folding(dict):
@@ -64,7 +65,8 @@ def fold(text: str | None) -> str:
 
 
 def stems(words: Iterable[str]) -> set[str]:
-    return {w[:k] for w in words for k in range(SHORT, min(len(w), LONG) + 1)}
+    """Candidates: the stems of words, and shorter words with the space that ends them."""
+    return {w[:k] if len(w) >= SHORT else f"{w} " for w in words for k in range(min(len(w), SHORT), min(len(w), LONG) + 1)}
 
 
 @dataclass
@@ -97,7 +99,10 @@ def hits(folded: str, a: ahocorasick.Automaton) -> tuple[float, int]:
         else:
             best[start] = max(w, best.get(start, 0.0))
     if spared:
-        best = {s: w for s, w in best.items() if not any(x <= s < y for x, y in spared)}
+        spared.sort()
+        starts, reach = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+        inside = lambda s: (i := bisect_right(starts, s)) and reach[i - 1] > s
+        best = {s: w for s, w in best.items() if not inside(s)}
     return sum(best.values()), len(best)
 
 
@@ -107,12 +112,14 @@ def density(weight: float, words: int) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(text, label) of at most max_rows labelled rows, lowest hashes first; a bounded side, so it can be broadcast."""
+    """(text, label) of at most max_rows labelled rows, lowest hashes first; a bounded side, so it can be broadcast. Of a doc_id that
+    repeats the least text counts."""
     few = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
-    return docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("text")).join(F.broadcast(few), F.col("_doc") == F.col("_id")).select("text", "label")
+    met = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few.distinct()), F.col("_doc") == F.col("_id"))
+    return met.groupBy("_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
-def _counts(rows: DataFrame, key, tag: str) -> DataFrame:
+def _counts(rows: DataFrame, key) -> DataFrame:
     """Rows that hold each key: (k, label, n). key(text): a text's set of keys; tasks count before anything is shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,26 +150,27 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Lexicon
     def all_stems(text: str | None) -> set[str]:
         return stems(set(fold(text).split()))
 
-    toxic = {r["k"]: r["n"] for r in _counts(rows.where("label = 1"), all_stems, "toxic").where(F.col("n") >= ROWS).orderBy(F.col("n").desc(), "k").limit(CANDIDATES).collect()}
-    asked = rows.sparkSession.sparkContext.broadcast(frozenset(toxic))
-    clean = {r["k"]: r["n"] for r in _counts(rows.where("label = 0"), lambda t: all_stems(t) & asked.value, "clean").collect()}
-    odds = {k: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(k, 0) + 0.5) / (n_clean + 1)) for k, n in toxic.items()}
+    n = _counts(rows, all_stems).groupBy("k").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
+    found = {r["k"]: (r["odds"], r["t"]) for r in n.where(F.col("t") >= ROWS).select("k", "t", odds.alias("odds")).where(F.col("odds") >= ODDS).collect()}
     # the best stem of each family: weight by support; of equals the longest, which is the most specific
-    for k in sorted((k for k in toxic if odds[k] >= ODDS), key=lambda k: (-odds[k] * math.sqrt(toxic[k]), -len(k), k)):
-        if len(lex.weights) < STEMS and not any(k[:i] in lex.weights for i in range(SHORT, len(k))):
-            if not any(s.startswith(k) and toxic[s] >= 0.9 * toxic[k] for s in lex.weights):
-                lex.weights[k] = odds[k]
+    heads: dict[str, list[str]] = {}
+    for k in sorted(found, key=lambda k: (-found[k][0] * math.sqrt(found[k][1]), -len(k), k)):
+        family = heads.setdefault(k[:SHORT], [])
+        if not any(k.startswith(s) or (s.startswith(k) and found[s][1] >= 0.9 * found[k][1]) for s in family):
+            family.append(k)
+            lex.weights[k] = found[k][0]
     known = dict(lex.weights)
 
     def phrases(text: str | None) -> set[str]:
         words, out = fold(text).split(), set()
         for i, w in enumerate(words):
-            if any(w[:k] in known for k in range(SHORT, len(w) + 1)):
+            if not known.keys().isdisjoint(stems((w,))):
                 out.update(" ".join(p) for p in (words[i - 1 : i + 1] if i else [], words[i : i + 2]) if len(p) == 2)
         return out
 
     seen: dict[str, list[int]] = {}
-    for r in _counts(rows, phrases, "phrases").where("n >= 3").collect():
+    for r in _counts(rows, phrases).where("n >= 3").collect():
         seen.setdefault(r["k"], [0, 0])[r["label"]] += r["n"]
     lex.exceptions = sorted(p for p, (c, t) in seen.items() if c >= 3 and t * n_clean < 0.2 * c * n_toxic)
     points = densities(rows, lex, ["label"]).select("label", "density").toPandas()
@@ -225,5 +233,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document's toxicity score."""
     docs = table(spark, sf_dir, "documents")
     lex = learn(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 3, 1))
-    held = F.expr("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 = 1").alias("held_out")
+    held = F.expr("coalesce(crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 = 1, false)").alias("held_out")
     return score(docs, lex, ["doc_id"]).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
