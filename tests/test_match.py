@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import names as N
 from touchline.functions import scalar as X
-from touchline.operators import features, ratings, state, windows
+from touchline.operators import features, fixtures, model, ratings, state, windows
 from touchline.sources import feeds, files, html
 from touchline.streaming import micro
 
@@ -96,18 +96,36 @@ def test_reaper_touches_only_old_open_rows(spark):
     assert got == {"a": "off", "b": "finished", "c": "scheduled"}
 
 
-@pytest.mark.parametrize("a,b,same", [
+CLUB_PAIRS = [
     ("Brest", "Stade Brestois 29", True), ("Real", "Real Madrid", False), ("Sparta Praha", "Sparta Praha II", False), ("Inter Milan", "Internazionale Milano", True),
-    ("AZ", "AZ Alkmaar", True), ("Benfica", "Sport Lisboa e Benfica", True), ("Lyon", "Lens", False),
-])
-def test_same_club(a, b, same):
-    assert N.same_club(N.name_key(a), N.name_key(b)) is same
+    ("AZ", "AZ Alkmaar", True), ("Benfica", "Sport Lisboa e Benfica", True), ("Lyon", "Lens", False), ("Alfa Beta", "Alfa Alfax", False), ("Alfa Alfax", "Alfax Alfa Gamma", True), ("Alfa Alfab", "Alfab Alfac", True), ("Sporting Gijon", "Sporting Gijón FC", False),
+]
 
 
-def test_name_keys():
-    assert N.name_key("1. FC Köln") == N.name_key("Koln") or N.name_key("FC Köln") == N.name_key("Koln")
-    assert N.name_key("ST Mirren") == N.name_key("St Mirren")
-    assert N.name_key("Bayer 04 Leverkusen") == N.name_key("Bayer Leverkusen")
+def test_same_clubs(spark):
+    names = spark.createDataFrame([(str(i), t) for i, (a, b, _) in enumerate(CLUB_PAIRS) for t in (a, b)], "league string, team string").withColumn("key", N.key(F.col("team")))
+    got = {(r["league"], *sorted((r["a"], r["b"]))) for r in N.one_club(N.candidate_pairs(names)).collect()}
+    assert got == {(str(i), *sorted((a, b))) for i, (a, b, same) in enumerate(CLUB_PAIRS) if same}
+
+
+def test_keys(spark):
+    cases = [("FC Köln", "koln"), ("ST Mirren", "saint mirren"), ("Bayer 04 Leverkusen", "bayer leverkusen"), ("  AFC  FC Bourne  ", "bourne"), ("FC", "fc"), (" ", " "), (None, None), ("Man. Utd.", "man united"), ("1899 Hoffenheim", "hoffenheim")]
+    df = spark.createDataFrame([(a, b) for a, b in cases], "name string, want string")
+    got = df.select("want", N.key(F.col("name")).alias("key"), N.stripped(F.col("name")).alias("shown")).collect()
+    assert [r["key"] for r in got] == [r["want"] for r in got]
+    assert [r["shown"] for r in got][3] == "Bourne"
+    row = spark.range(1).select(N.market_key(F.lit("Wolves")).alias("w"), N.market_key(F.lit("1. FC Köln 1948")).alias("k"), N.market_same(F.lit("brighton"), F.lit("brighton and hove albion")).alias("s"), N.market_same(F.lit("united"), F.lit("leeds united")).alias("g"), N.serving_key(F.lit("St-Étienne")).alias("e")).first()
+    assert tuple(row) == ("wolverhampton wanderers", "koln" if row["k"] == "koln" else row["k"], True, False, "saint etienne")
+
+
+def test_names_resolve_and_merge(spark):
+    rows = [("L", "Alpha", "Beta", "betexplorer")] * 3 + [("L", "Alpha Rovers", "Gamma", "other"), ("M", "Delta", "Alpha", "other")]
+    m = spark.createDataFrame(rows, "league string, home_team string, away_team string, source string")
+    none = spark.createDataFrame([], "name string")
+    assert {(r["team"], r["name"]) for r in N.merge_split_clubs(m, none).collect()} == {("Alpha Rovers", "Alpha")}
+    assert {(r["team"], r["name"]) for r in N.merge_split_clubs(m, spark.createDataFrame([("Alpha Rovers",)], "name string")).collect()} == {("Alpha", "Alpha Rovers")}
+    found = N.suggested(N.suspects(m.unionByName(spark.createDataFrame([("L", "Al-pha", "Zeta", "other")], m.schema))), m).collect()
+    assert [(r["a"], r["b"], r["ratio"], r["keep"]) for r in found] == [("Al-pha", "Alpha", 1.0, "Alpha")]
 
 
 def test_spellings_collapse_and_clubs_merge(spark):
@@ -127,7 +145,11 @@ def test_bulk_csv(spark, tmp_path):
     (tmp_path / "E0.csv").write_bytes("﻿Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR,B365H,AvgH,B365D,AvgD,B365A,AvgA\nE0,12/08/2023,Arsenal,Chelsea,2,1,H,1.5,1.6,4,4,6,6\nE0,13/08/23,Leeds,Derby,0,0,,,2.5,3,3,3,3\nE0,bad,X,Y,1,1,D,1,1,1,1,1,1\nZZ,12/08/2023,A,B,1,0,H,1,1,1,1,1,1\nE0,14/08/2023,P,Q,1,2,A,1,1,1,1,1,1,9,9\n".encode())
     found = files.discover(spark, str(tmp_path))
     assert found.count() == 1 and files.changed(found, found).isEmpty()
-    rows = files.ingest(spark, found).orderBy("date").collect()
+    parsed, report = files.ingest(spark, found)
+    assert [r["layout"] for r in report.collect()] == ["bulk"]
+    kept = files.recorded(files.load_table(spark, str(tmp_path / "none"), files.MANIFEST), found, parsed, F.lit("2024-01-01").cast("timestamp"))
+    assert [(r["name"], r["rows"]) for r in kept.collect()] == [("E0.csv", 2)] and files.changed(found, kept).isEmpty()
+    rows = parsed.orderBy("date").collect()
     assert [(r["home_team"], r["outcome"], r["odds_home"], r["season"], r["league"]) for r in rows] == [("Arsenal", 1, 1.5, "2023/24", "Premier League"), ("Leeds", 2, 2.5, "2023/24", "Premier League")]
 
 
@@ -202,3 +224,63 @@ def test_serving_equals_training(spark):
     new = features.serving_rows(df.where(f"seq = {last}").withColumns({"home": F.lit("new"), "league": F.lit("M")}), df.where(f"seq < {last}")).first().asDict()
     assert (new["home_known"], new["away_known"], new["league_known"], new["home_elo"], new["h2h_home_winrate"], new["home_pos"]) == (False, True, False, 1000.0, 0.5, 1)
     assert new["home_gf_5"] is not None and new["home_sot_for_5"] is None and new["defaults_used"] > 12 and new["defaulted"].count(",") == 11
+
+
+def test_latin_1_quotes_and_unknown_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Div,Date,HomeTeam,AwayTeam,FTHG,FTAG\nSP1,12/08/2023,M\xe1laga,\"Sevilla, B\",2,1\nSP1,13/08/2023,A,B,1,1,extra\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "england-premier-league-matches-2023.csv").write_text("date_GMT,status,home_team_name,away_team_name,home_team_goal_count,away_team_goal_count,odds_ft_home_team_win\nAug 12 2023 - 2:00pm,complete,Arsenal,Leeds,2,1,1.0\nAug 13 2023 - 2:00pm,suspended,Derby,Leeds,2,1,2.0\n")
+    rows, report = files.ingest(spark, files.discover(spark, str(tmp_path)), with_aggregates=True)
+    assert {(r["name"], r["layout"]) for r in report.collect()} == {("a.csv", "bulk"), ("b.csv", None), ("england-premier-league-matches-2023.csv", "aggregate")}
+    got = {(r["home_team"], r["away_team"], r["league"], r["odds_home"]) for r in rows.collect()}
+    assert got == {("M\xe1laga", "Sevilla, B", "La Liga", None), ("Arsenal", "Leeds", "Premier League", None)}
+
+
+def test_archive_pages(spark):
+    page = '<a href="https://globalsportsarchive.com/en/soccer/match/2024-05-01/a-vs-b/77"><div class="gsa-d-sm-md-none gsa-d-block"> Alpha &amp; Co </div><div class="gsa-d-sm-md-none gsa-d-block">Beta</div><i class="gsa-match-rounds-v2__match-score"><div class="gsa-text-yellow"> 2 </div><div class="gsa-text-grey">1</div></i></a><a href="https://globalsportsarchive.com/en/soccer/match/2024-06-01/a-vs-c/78"><div class="gsa-d-sm-md-none gsa-d-block">Alpha</div></a><a href="https://globalsportsarchive.com/en/soccer/team/alpha/5/">x</a>'
+    df = spark.createDataFrame([(page,), (page,)], "html string")
+    rows = html.archive_rows(df, "html").collect()
+    assert [(r["match_id"], r["season"], r["home_team"], r["away_team"], r["home_score"], r["away_score"], r["outcome"]) for r in rows] == [("77", "2023/24", "Alpha & Co", "Beta", 2, 1, 1)]
+    assert [r["url"] for r in html.archive_clubs(df, "html").collect()] == ["https://globalsportsarchive.com/en/soccer/team/alpha/5"]
+
+
+def test_undated_rows_and_few_odds(spark):
+    row = '<tr><td><a class="in-match">A - B</a></td><td>>2:1<</td><td data-odd="1.5"></td><td data-odd="4"></td></tr>'
+    r = html.odds_rows(spark.createDataFrame([(row + row,)], "html string"), "html", F.lit("2024-03-10").cast("timestamp")).collect()
+    assert [(str(x["date"]), x["home_team"], x["odds_home"]) for x in r] == [("2024-03-10", "A", None)]
+
+
+def test_search_folds_accents_and_replies_parse(spark):
+    row = spark.range(1).select(
+        X.has_all_words(F.lit("Atlético Málaga"), F.lit("MALAGA atle")).alias("a"), X.has_all_words(F.lit("Malaga"), F.lit("málag")).alias("b"), X.has_all_words(F.lit("Malaga"), F.lit("sevilla")).alias("c"),
+        X.stale_label(F.lit(0.5)).alias("d"), X.stale_label(F.lit(47.0)).alias("e"), X.stale_label(F.lit(49.0)).alias("f"),
+        X.insight(F.lit('Sure! ```json\n{"summary": " s ", "key_factors": ["1","","2","3","4","5","6","7"], "tier_rationales": [{"tier":"LOW","rationale":"r"},{"tier":"odd","rationale":"x"}]}``` bye')).alias("i"), X.insight(F.lit("none")).alias("n"),
+    ).first()
+    assert tuple(row)[:6] == (True, True, False, "30m ago", "47h ago", "2d ago")
+    i = row["i"]
+    assert (i["summary"], i["key_factors"], i["low"], i["medium"], i["model_commentary"]) == ("s", ["1", "2", "3", "4", "5", "6"], "r", "", "") and row["n"] is None
+
+
+def test_digest(spark):
+    rows = spark.createDataFrame([("L & M", "A", "B", "2024-05-01 18:00:00", 0.6, 0.3, 0.1), ("L", "C", "D", "2024-05-01 12:00:00", 0.35, 0.25, 0.4), ("L", "E", "F", "2024-05-01 13:00:00", None, None, None)], "league string, home_team string, away_team string, kickoff_utc string, home_win double, draw double, away_win double").withColumn("kickoff_utc", F.col("kickoff_utc").cast("timestamp"))
+    edge = spark.createDataFrame([("L", "ahead"), ("M", "level")], "league string, edge string")
+    text = fixtures.digest(rows, edge, "2024-05-01").first()["text"]
+    assert "3 matches, 2 with probabilities" in text and "• 20:00 L &amp; M · A v B — <b>1</b> A 60%" in text and "<b>1X</b> (draw 30%)" in text and "Better than the market: L" in text and "1 without probabilities" in text
+    assert fixtures.digest(rows.limit(0), edge, "2024-05-01").first()["text"].endswith("No matches.")
+
+
+def test_model_trains_predicts_and_gates(spark):
+    rng, rows = random.Random(4), []
+    for s in range(6):
+        for i in range(60):
+            h, a = rng.sample("ABCDEF", 2)
+            x = 2 if h < a else 0
+            rows.append((s * 60 + i, dt.date(2015 + s, 8, 1) + dt.timedelta(days=i), f"{2015 + s}/{16 + s}", "L", h, a, x + rng.randrange(2), 1, 5, 3))
+    df = spark.createDataFrame(rows, COLUMNS).withColumns({"outcome": X.outcome(F.col("home_score"), F.col("away_score")), "odds_home": F.lit(None).cast("double"), "odds_draw": F.lit(None).cast("double"), "odds_away": F.lit(None).cast("double")})
+    fitted, held = model.train(df, sizes=(3,), seeds=2)
+    assert len(fitted.members) == 2 and len(fitted.columns) == 81 and held["n"] == 120 and held["accuracy"] > 0.5
+    assert model.accepted(held, None) and not model.accepted({"accuracy": 0.4}, {"accuracy": 0.5}) and model.accepted({"accuracy": 0.495}, {"accuracy": 0.5})
+    ask = spark.createDataFrame([(1, dt.date(2022, 1, 1), "L", "fc a", "F"), (2, dt.date(2022, 1, 1), "L", "Nobody", "B")], "seq long, date date, league string, home string, away string")
+    got = {r["seq"]: r for r in model.batch(fitted, ask, df, strict=True).collect()}
+    assert got[2]["error"] == "unknown club(s): Nobody" and got[2]["home_win"] is None
+    assert got[1]["error"] is None and got[1]["home"] == "A" and got[1]["home_name_exact"] is False and math.isclose(got[1]["home_win"] + got[1]["draw"] + got[1]["away_win"], 1.0)

@@ -138,10 +138,20 @@ def local_day(instant: Column, zone: str = "Africa/Johannesburg") -> Column:
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), instant))
 
 
+#: Latin letters with marks, and those that they are without.
+_MARKED = "àáâãäåāăąçćčďđèéêëēėęěğìíîïīįıłñńňòóôõöøōőŕřśşšșťţțùúûüūůűųýÿžźż"
+_BARE = "aaaaaaaaacccddeeeeeeeegiiiiiiilnnnoooooooorrsssstttuuuuuuuuyyzzz"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, without marks: those of composed Latin letters, and all that stand as characters of their own."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), _MARKED, _BARE)
+
+
 def has_all_words(text: Column, query: Column) -> Column:
-    """Every word of the query is somewhere in the text, without regard to case."""
-    words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != "")
-    return F.forall(words, lambda w: F.contains(F.lower(text), w))
+    """Every word of the query is somewhere in the text, without regard to case and accents."""
+    words = F.filter(F.split(folded(query), r"\s+"), lambda w: w != "")
+    return F.forall(words, lambda w: F.contains(folded(text), w))
 
 
 def initials(name: Column) -> Column:
@@ -159,3 +169,26 @@ def hue(name: Column) -> Column:
 def ago(seconds: Column) -> Column:
     minutes = F.floor(seconds / 60)
     return F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
+
+
+def stale_label(hours: Column) -> Column:
+    """How old a row is: in minutes below an hour, in hours below two days, then in days; unknown where that isn't known."""
+    unit = lambda n, u: F.concat(F.floor(n).cast("string"), F.lit(f"{u} ago"))
+    return F.when(hours.isNull(), "unknown").when(hours < 1, unit(hours * 60, "m")).when(hours < 48, unit(hours, "h")).otherwise(unit(hours / 24, "d"))
+
+
+def insight(reply: Column) -> Column:
+    """A language model's reply as a struct: the JSON object in it, with or without fences and words around it; factors at most
+    six, rationales of the three known tiers in their order, texts trimmed. Null where there is no object."""
+    bare = F.trim(F.regexp_replace(reply, r"(?i)```(?:json)?", ""))
+    kind = "summary string, key_factors array<string>, tier_rationales array<struct<tier: string, rationale: string>>, model_commentary string, confidence_notes string"
+    raw = F.from_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0), kind)
+    text = lambda c, other="": F.when(F.trim(c) != "", F.trim(c)).otherwise(F.lit(other))
+    tiers = F.coalesce(raw["tier_rationales"], F.array().cast("array<struct<tier: string, rationale: string>>"))
+    said = lambda t: F.element_at(F.filter(tiers, lambda x: F.lower(F.trim(x["tier"])) == t), -1)["rationale"]
+    last = lambda t: F.when(F.exists(tiers, lambda x: F.lower(F.trim(x["tier"])) == t), text(said(t))).otherwise("")
+    factors = F.filter(F.coalesce(raw["key_factors"], F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    return F.when(
+        F.regexp_like(bare, F.lit(r"(?s)\{.*\}")),
+        F.struct(text(raw["summary"], "No summary produced.").alias("summary"), F.slice(factors, 1, 6).alias("key_factors"), *(last(t).alias(t) for t in ("low", "medium", "high")), text(raw["model_commentary"]).alias("model_commentary"), text(raw["confidence_notes"]).alias("confidence_notes")),
+    )

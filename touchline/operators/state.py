@@ -117,7 +117,7 @@ def freshness(fixtures: DataFrame, now: Column) -> DataFrame:
     counts = [F.count_if(F.col("status_group") == g).alias(g) for g in S.PROGRESS]
     stranded = F.col("status_group").isin("scheduled", "in_play") & (F.col("kickoff_utc") < now - F.expr(f"interval {S.STALE_HOURS} hours"))
     upcoming = F.min(F.when((F.col("status_group") == "scheduled") & (F.col("kickoff_utc") >= now), F.col("kickoff_utc")))
-    return fixtures.agg(*counts, F.count("*").alias("total"), F.max("kickoff_utc").alias("last_kickoff"), upcoming.alias("next_kickoff"), F.count_if(stranded).alias("stranded"), F.count_distinct("league").alias("leagues"))
+    return fixtures.agg(*counts, F.count("*").alias("total"), F.max("updated_at").alias("last_update"), upcoming.alias("next_kickoff"), F.count_if(stranded).alias("stranded"), F.count_distinct("league").alias("leagues"))
 
 
 def upcoming(fixtures: DataFrame, now: Column, limit: int = 300) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline import schema as S
 from touchline.functions import scalar as X
@@ -21,6 +23,14 @@ DIVISIONS = {
     "F1": ("Ligue 1", "France"), "N1": ("Eredivisie", "Netherlands"), "P1": ("Liga Portugal", "Portugal"), "SC0": ("Scottish Premiership", "Scotland"),
 }
 
+# How an aggregator's file names begin, and the countries of leagues.
+SLUGS = {
+    "england-premier-league": "Premier League", "england-championship": "Championship", "england-league-one": "League One", "germany-bundesliga": "Bundesliga", "italy-serie-a": "Serie A", "spain-la-liga": "La Liga",
+    "france-ligue-1": "Ligue 1", "netherlands-eredivisie": "Eredivisie", "portugal-liga-nos": "Liga Portugal", "portugal-primeira-liga": "Liga Portugal", "scotland-premiership": "Scottish Premiership",
+    "south-africa-premier-soccer-league": "Betway Premiership",
+}
+COUNTRIES = dict(DIVISIONS.values()) | {"Betway Premiership": "South Africa"}
+
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """(path, name, sha1, size) of files; contents are digested where they are read."""
@@ -33,20 +43,56 @@ def changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(manifest, ["name", "sha1"], "left_anti")
 
 
+MANIFEST = "name string, sha1 string, size long, rows long, ingested_at timestamp"
+
+
+def load_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table written before, or an empty one of that schema where there is none."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def recorded(manifest: DataFrame, parsed: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """The manifest after parsed(path, name, sha1, size) gave rows(_file, ...). A file that wasn't recognised isn't in parsed, so it
+    is looked at again next time."""
+    n = rows.groupBy(F.element_at(F.split("_file", "/"), -1).alias("_name")).agg(F.count("*").alias("rows"))
+    new = parsed.join(n, F.url_decode("name") == F.url_decode("_name"), "left").select("name", "sha1", "size", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), now.alias("ingested_at"))
+    return manifest.join(new.select("name"), "name", "left_anti").unionByName(new)
+
+
 def layout(columns: list[str]) -> str | None:
-    have = {c.strip().lstrip("﻿") for c in columns}
+    have = {c.strip().lstrip("\ufeff") for c in columns}
     return next((n for n, need in (("bulk", BULK), ("canonical", CANONICAL), ("aggregate", AGGREGATE)) if need <= have), None)
 
 
+def sniffed(files: DataFrame) -> DataFrame:
+    """files(path, name, sha1, size) with header (their first line) and encoding: UTF-8, or Latin-1 where the bytes aren't. One
+    pass over the files, in which tasks read them whole; what is kept is a line a file."""
+    spark = files.sparkSession
+    found = [r["path"] for r in files.select("path").collect()]
+    if not found:
+        return files.withColumns({"header": F.lit(None).cast("string"), "encoding": F.lit(None).cast("string")})
+    raw = spark.read.format("binaryFile").load(found)
+    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(utf8, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
+    line = F.regexp_replace(F.regexp_extract(text, r"^([^\r\n]*)", 1), "^\ufeff", "")
+    return files.join(raw.select("path", line.alias("header"), F.when(utf8, "UTF-8").otherwise("ISO-8859-1").alias("encoding")), "path")
+
+
 def read_text_csv(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """All cells as text; rows with more cells than the header are dropped, shorter ones are padded."""
     raw = spark.read.option("header", True).option("encoding", encoding).option("columnNameOfCorruptRecord", "_bad")
     names = raw.csv(paths).columns
-    clean = [c.strip().lstrip("﻿") for c in names]
+    clean = [c.strip().lstrip("\ufeff") for c in names]
     fields = ", ".join(f"`{c}` string" for c in names) + ", `_bad` string"
     rows = raw.schema(fields).option("mode", "PERMISSIVE").csv(paths)
-    long = F.size(F.split(F.col("_bad"), ",")) > len(names)
-    return rows.where(F.col("_bad").isNull() | ~long).select(*(F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(names, clean)), F.input_file_name().alias("_file"))
+    # commas inside quotes part no cells
+    cells = F.size(F.split(F.regexp_replace("_bad", '"(?:[^"]|"")*"', ""), ",", -1))
+    return rows.where(F.col("_bad").isNull() | (cells <= len(names))).select(*(F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(names, clean)), F.input_file_name().alias("_file"))
 
 
 def conform(df: DataFrame, schema=S.MATCH) -> DataFrame:
@@ -54,6 +100,10 @@ def conform(df: DataFrame, schema=S.MATCH) -> DataFrame:
     return df.select(*((F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields))
 
 
+def _filed(df: DataFrame) -> DataFrame:
+    return conform(df, T.StructType([*S.MATCH.fields, T.StructField("_file", T.StringType())]))
+
+
 def _usable(df: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")).isin("", "nan", "NaN")
     return df.where(F.col("date").isNotNull() & F.col("outcome").isNotNull() & ~blank(F.col("home_team")) & ~blank(F.col("away_team")) & (F.col("home_team") != F.col("away_team")))
@@ -77,33 +127,51 @@ def bulk(raw: DataFrame, source: str = "football-data.co.uk") -> DataFrame:
     rows = rows.withColumns({"league": F.split("_place", r"\|")[0], "country": F.get(F.split("_place", r"\|"), F.lit(1))}).where("league is not null")
     seasons = rows.where("date is not null").groupBy("_file", X.season_label(F.col("date")).alias("season")).count()
     modal = seasons.groupBy("_file").agg(F.max_by("season", F.struct("count", -F.substring("season", 1, 4).cast("int"))).alias("season"))
-    return conform(_usable(rows.join(modal, "_file")))
+    return _filed(_usable(rows.join(modal, "_file")))
 
 
 def canonical(raw: DataFrame, source: str = "canonical") -> DataFrame:
     """The canonical layout: outcomes are computed again, seasons and sources only filled in."""
-    rows = conform(raw)
+    rows = _filed(raw)
     rows = rows.withColumn("outcome", X.outcome(F.col("home_score"), F.col("away_score")))
     return _usable(rows.withColumns({"season": F.coalesce("season", X.season_label(F.col("date"))), "source": F.coalesce("source", F.lit(source))}))
 
 
-def aggregate(raw: DataFrame, league: str, country: str, source: str = "FootyStats") -> DataFrame:
+def aggregate(raw: DataFrame, league: Column, country: Column, source: str = "FootyStats") -> DataFrame:
     """The match export of an aggregator: finished matches only; odds of 1 or less mean none."""
     day = F.to_date(F.try_to_timestamp(F.trim(F.split("date_GMT", " - ")[0]), F.lit("MMM d yyyy")))
     hs, as_ = F.col("home_team_goal_count").try_cast("int"), F.col("away_team_goal_count").try_cast("int")
     price = lambda c: (F.when(F.col(c).try_cast("double") > 1.0, F.col(c).try_cast("double")) if c in raw.columns else F.lit(None).cast("double"))
     done = raw.where(F.lower(F.trim("status")) == "complete") if "status" in raw.columns else raw
-    rows = done.select(day.alias("date"), X.season_label(day).alias("season"), F.lit(league).alias("league"), F.lit(country).alias("country"), F.col("home_team_name").alias("home_team"), F.col("away_team_name").alias("away_team"), hs.alias("home_score"), as_.alias("away_score"), X.outcome(hs, as_).alias("outcome"), price("odds_ft_home_team_win").alias("odds_home"), price("odds_ft_draw").alias("odds_draw"), price("odds_ft_away_team_win").alias("odds_away"), F.lit(source).alias("source"))
-    return conform(_usable(rows))
-
-
-def ingest(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """The bulk and canonical files of discover(), as one canonical frame. Headers are read on the driver, a line a file."""
-    paths: dict[str, list[str]] = {"bulk": [], "canonical": []}
-    for r in files.select("path").toLocalIterator():
-        kind = layout(spark.read.option("header", True).csv(r["path"]).columns)
-        if kind in paths:
-            paths[kind].append(r["path"])
-    # files of one layout can differ in columns, so each is read by its own header
-    parts = [f(read_text_csv(spark, p)) for k, f in (("bulk", bulk), ("canonical", canonical)) for p in paths[k]]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], S.MATCH)
+    rows = done.select("_file", day.alias("date"), X.season_label(day).alias("season"), league.alias("league"), country.alias("country"), F.col("home_team_name").alias("home_team"), F.col("away_team_name").alias("away_team"), hs.alias("home_score"), as_.alias("away_score"), X.outcome(hs, as_).alias("outcome"), price("odds_ft_home_team_win").alias("odds_home"), price("odds_ft_draw").alias("odds_draw"), price("odds_ft_away_team_win").alias("odds_away"), F.lit(source).alias("source"))
+    return _filed(_usable(rows))
+
+
+def aggregate_files(raw: DataFrame) -> DataFrame:
+    """The aggregator's exports, whose league is told by the file's name; a file of no known league gives no rows."""
+    name = F.lower(F.element_at(F.split("_file", "/"), -1))
+    league = F.coalesce(*(F.when(F.startswith(name, F.lit(slug)), F.lit(place)) for slug, place in SLUGS.items()))
+    country = F.try_element_at(F.create_map(*(F.lit(x) for kv in COUNTRIES.items() for x in kv)), F.col("league"))
+    rows = raw.withColumn("league", league).where("league is not null").withColumn("country", country)
+    return aggregate(rows, F.col("league"), F.col("country"))
+
+
+def ingest(spark: SparkSession, files: DataFrame, with_aggregates: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The files of discover() as one canonical frame with _file, and a report (path, name, layout), layout null where a file isn't
+    recognised. Files are read together by layout, header and encoding; the driver holds a line a file."""
+    known = sniffed(files)
+    parts, report = [], []
+    groups: dict[tuple, list[str]] = {}
+    for r in known.select("path", "name", "header", "encoding").collect():
+        kind = layout((r["header"] or "").split(","))
+        if kind == "aggregate" and not (with_aggregates and "-matches-" in r["name"].lower()):
+            kind = None
+        report.append((r["path"], r["name"], kind))
+        if kind:
+            groups.setdefault((kind, r["header"], r["encoding"]), []).append(r["path"])
+    make = {"bulk": bulk, "canonical": canonical, "aggregate": aggregate_files}
+    for (kind, _, encoding), paths in sorted(groups.items()):
+        raw = read_text_csv(spark, sorted(paths), encoding)
+        parts.append(make[kind](raw))
+    told = spark.createDataFrame(report, "path string, name string, layout string")
+    return (reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], T.StructType([*S.MATCH.fields, T.StructField("_file", T.StringType())]))), told
