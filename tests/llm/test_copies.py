@@ -69,6 +69,10 @@ def test_points_bound_overlaps_at_every_size():
 def test_documents_known_by_earlier_texts(spark):
     full = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(4)]
     docs = spark.createDataFrame([full[0], full[1], (2, "only a scrap is left"), (3, full[3][1])], "doc_id long, text string")
+    # documents with texts of very different sizes, that share a passage in several cells
+    long = " ".join(f"v{k}" for k in range(1500))
+    mixed = spark.createDataFrame([(i, t) for i in range(5) for t in (f"{long} " + " ".join(f"q{i}z{k}" for k in range(700 + 300 * i)), " ".join(f"v{k}" for k in range(40 + 3 * i)))], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.join(mixed).collect()} == {0}
     also = spark.createDataFrame([full[0], full[1], (2, full[1][1] + " more"), full[3], (9, full[3][1])], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in jaccard.thin_out(docs).collect()) == [0, 1, 2, 3]
     assert sorted(r["doc_id"] for r in jaccard.thin_out(docs, also=also).collect()) == [0, 1, 3]

@@ -245,8 +245,9 @@ def candidate_groups(cells: DataFrame, part: DataFrame, points: DataFrame, num:
     same = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"_h{i}") for i in (0, 1)]
     stats = told.groupBy("token").agg(F.min("part").alias("_x"), F.max("part").alias("_y"), F.count("*").alias("_k"), *same).where("_x <> _y")
     one = stats.groupBy("_h0", "_h1", "_k").agg(F.min("token").alias("token"))
-    apart = told.join(one.select("token"), "token").select(F.col("token").alias("key"), F.col("cls").alias("id"), "part", F.lit(0).alias("size"), "n")
-    rows = blocks.meetings(apart, BLOCK, "n").join(points.select(F.col("cls").alias("id"), "counts"), "id")
+    apart = told.join(one.select("token"), "token").select(F.col("token").alias("key"), F.col("cls").alias("id"), "part", F.lit(0).alias("size"))
+    # a set's size comes with its point: a doc_id with several texts has as many of both
+    rows = blocks.meetings(apart, BLOCK).join(points.select(F.col("cls").alias("id"), "n", "counts"), "id")
     placed = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     graph = placed.select("key", "low", "high", "side", "id", "n", "part", "counts").mapInPandas(lambda it: _cell_graph(it, num, den), "a long, b long")
     group = components(graph, "groups").select(F.col("node").alias("id"), F.col("component").alias("key"))
