@@ -85,7 +85,7 @@ def sniffed(files: DataFrame) -> DataFrame:
 
 def read_text_csv(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """All cells as text; rows with more cells than the header are dropped, shorter ones are padded."""
-    raw = spark.read.option("header", True).option("encoding", encoding).option("columnNameOfCorruptRecord", "_bad")
+    raw = spark.read.option("header", True).option("columnPruning", False).option("encoding", encoding).option("columnNameOfCorruptRecord", "_bad")
     names = raw.csv(paths).columns
     clean = [c.strip().lstrip("\ufeff") for c in names]
     fields = ", ".join(f"`{c}` string" for c in names) + ", `_bad` string"
