@@ -3,8 +3,8 @@
 Toxic documents go first, then those that the quality rules reject; of lines that repeat each other, exactly or nearly, one
 stays, and a document that has no line left goes; of documents that are near copies, one stays; what remains is packed.
 
-Line dedup leaves a near copy only the lines that differ from its original's, too little to be known by. So what is left of a
-document that was mostly another one's goes there, and the join knows each document by its text as it came, too.
+Line dedup leaves a near copy only the lines that differ from its original's, too little to be known by, so the join knows each
+document by its text as it came, too. Of each group of lines that repeat each other one is still there after line dedup.
 
 Columns named like documents' own are expected (doc_id, text, lang, source); others are passed on unread. Each stage handles
 nulls, empty tables, repeated rows and long texts as its operator's docstring says. What a stage is given must have been written:
@@ -56,10 +56,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that earlier ones repeat. Those that lose their last line with a word go, and so does what is left
-    of one that shared half of its text at least, in whole lines, with one other document, which was half of that one's, too."""
-    thinned = lines.dedup(docs, lines="_n_lines", removed="_n_removed", scrap="_n_scrap")
-    whole = thinned.where(~F.col("_n_scrap") & ((F.col("_n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")))
+    """Documents without the lines that earlier ones repeat. Those that lose their last line with a word go."""
+    thinned = lines.dedup(docs, lines="_n_lines", removed="_n_removed")
+    whole = thinned.where((F.col("_n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     chars = [F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return whole.select(*chars)
 

@@ -117,7 +117,7 @@ def test_lines_linked_only_through_a_hub(spark, monkeypatch, block):
     rng.shuffle(order := list(range(len(every))))
     at = {k: n for n, k in enumerate(order)}
     root = _roots(len(every), [(at[i], at[j]) for i, j in links])
-    got = lines.removals(spark.createDataFrame([(n, every[k]) for n, k in enumerate(order)], "doc_id long, text string"))[0].collect()
+    got = lines.removals(spark.createDataFrame([(n, every[k]) for n, k in enumerate(order)], "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in got) == [n for n in range(len(every)) if root[n] != n]
 
 
@@ -139,13 +139,15 @@ def test_block_links_equal_brute_force(monkeypatch, pairs):
         assert ok and _roots(top, [(part[i], part[j]) for i, j in ok]) == _roots(top, blocks.part_links(sets, cell, part, side, 4, 5))
 
 
-def test_scraps_of_near_copies(spark):
+def test_a_copy_of_every_line_stays(spark):
+    """Near copies keep what is only theirs, and of each group of lines one is left."""
     rng = np.random.default_rng(7)
     line = lambda: "".join(rng.choice(list("abcdefghij"), 60))
     a, b, c, d, e = (line() for _ in range(5))
     rows = [(1, "\n".join([a, b, c])), (2, "\n".join([a, b, d])), (3, "\n".join([a, *(line() for _ in range(5))])), (4, f"{e}\n{line()}"), (5, line())]
-    out = {r["doc_id"]: (r["_removed"], r["s"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), scrap="s").collect()}
-    assert out == {1: (0, False), 2: (2, True), 3: (1, False), 4: (0, False), 5: (0, False)}
+    out = {r["doc_id"]: (r["text"], r["_removed"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[2] == (d, 2) and {k: n for k, (_, n) in out.items()} == {1: 0, 2: 2, 3: 1, 4: 0, 5: 0}
+    assert sorted(x for t, _ in out.values() for x in t.split("\n")) == sorted({x for _, t in rows for x in t.split("\n")})
 
 
 def test_archive(spark):

@@ -1,4 +1,12 @@
+import os
+from collections import defaultdict
+
+import pytest
+
 import corpus_pipeline as P
+from touchline.llm import lines
+
+DATA = "/root/testdata/sf0.01"
 
 
 def test_stages_filter_and_pack(spark, docs, nothing, tmp_path):
@@ -25,3 +33,28 @@ def test_run(spark, docs, tmp_path):
     assert P._left == set()  # and so are all scratch tables of the stages
 
 
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+def test_line_dedup_loses_no_text(spark):
+    """Every line is still there after the stage unless another one repeats it, and of those that repeat each other one stays."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    gone = {(r["doc_id"], r["line"]) for r in lines.removals(docs).collect()}
+    kept = {r["doc_id"]: r["text"] for r in P.once(spark, docs, DATA).collect()}
+    left = {}
+    for r in docs.select("doc_id", "text").collect():
+        left[r["doc_id"]] = [x for i, x in enumerate((r["text"] or "").split("\n")) if (r["doc_id"], i) not in gone]
+        if lines.even("".join(left[r["doc_id"]])):
+            assert kept[r["doc_id"]] == "\n".join(left[r["doc_id"]])
+    there = {lines.even(x) for t in left.values() for x in t} - {""}
+    sets = {x: {x[k : k + 7] for k in range(max(1, len(x) - 6))} for x in there}
+    by_shingle = defaultdict(set)
+    for x, s in sets.items():
+        for k in s:
+            by_shingle[k].add(x)
+    lost = {lines.even(x) for d, t in ((r["doc_id"], r["text"] or "") for r in docs.collect()) for i, x in enumerate(t.split("\n")) if (d, i) in gone} - there
+    assert gone and lost
+    for x in lost:  # what is nowhere as it was is nearly repeated by a line that stays, at one or two removes
+        s = {x[k : k + 7] for k in range(max(1, len(x) - 6))}
+        near = set().union(*(by_shingle[k] for k in s))
+        assert any(10 * len(s & sets[y]) >= 6 * len(s | sets[y]) for y in near), x

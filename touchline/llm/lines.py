@@ -143,9 +143,8 @@ def apart_cells(cells: DataFrame, part: DataFrame) -> DataFrame:
     return out
 
 
-def removals(docs: DataFrame, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) as doc_id, line, size, other: the lines that go, and the documents in which a line stays for them; and
-    doc_id, size: the characters of all lines with a word."""
+def removals(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """docs(doc_id, text) as doc_id, line: the lines that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
     every = written(signed_lines(docs), "lines")
     # equal lines are one class; a class is known by its least occurrence
@@ -188,41 +187,24 @@ def removals(docs: DataFrame, num: int = 4, den: int = 5) -> tuple[DataFrame, Da
     keeper = told.groupBy("component").agg(F.min("at").alias("stays"))
     goes = written(told.join(keeper, "component").select("digest", "stays"), "line-keepers")
     finished(classes, both)
-    gone = every.select("doc_id", "line", "size", "digest").join(goes, "digest").where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line")))
-    return gone.select("doc_id", "line", "size", F.col("stays.doc_id").alias("other")), every.select("doc_id", "size")
-
-
-def scraps(gone: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id) of documents that were near copies of another: the lines that went for one and the same document are half of both
-    at least, in characters. One whose other document is such a copy itself isn't listed, so no text is lost from both."""
-    whole = lines.groupBy("doc_id").agg(F.sum("size").alias("_whole"))
-    most = gone.where("other <> doc_id").groupBy("doc_id", "other").agg(F.sum("size").alias("_shared")).join(whole, "doc_id").where("2 * _shared >= _whole").select("doc_id", "other", "_shared")
-    both = written(most.join(whole.select(F.col("doc_id").alias("other"), "_whole"), "other").where("2 * _shared >= _whole").select("doc_id", "other"), "scraps")
-    return both.join(both.select(F.col("doc_id").alias("other")).distinct(), "other", "left_anti").select("doc_id").distinct()
-
-
-def dedup(docs: DataFrame, num: int = 4, den: int = 5, lines: str = "_lines", removed: str = "_removed", scrap: str | None = None) -> DataFrame:
-    """docs with every column, its text without the lines that go, and the numbers of its lines and of those removed. scrap: name of
-    a further column, whether what is left is a scrap of a near copy."""
-    away, every = removals(docs, num, den)
-    away = written(away, "removals")
-    gone = away.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone"))
-    if scrap:
-        left = scraps(away, every).select(F.col("doc_id").alias("_gone_id"), F.lit(True).alias("_scrap"))
-        gone = gone.join(left, "_gone_id", "left")
-    gone = written(gone if scrap else gone.withColumn("_scrap", F.lit(None).cast("boolean")), "gone")
-    finished(away)
+    gone = every.select("doc_id", "line", "digest").join(goes, "digest").where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line")))
+    return gone.select("doc_id", "line")
+
+
+def dedup(docs: DataFrame, num: int = 4, den: int = 5, lines: str = "_lines", removed: str = "_removed") -> DataFrame:
+    """docs with every column, its text without the lines that go, and the numbers of its lines and of those removed."""
+    gone = written(removals(docs, num, den).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone")), "gone")
     # documents that lose no line aren't moved for the join
     ids = gone.select(F.col("_gone_id").alias("id"))
     # gone grows with the documents, so it isn't broadcast at any size
     some = likely(docs, ids, "doc_id").join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
-    rest = unlikely(docs, ids, "doc_id").withColumns({"_gone_id": F.lit(None).cast("long"), "_gone": F.lit(None).cast("array<int>"), "_scrap": F.lit(None).cast("boolean")})
+    rest = unlikely(docs, ids, "doc_id").withColumns({"_gone_id": F.lit(None).cast("long"), "_gone": F.lit(None).cast("array<int>")})
     both = some.unionByName(rest).withColumn("_split", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_gone")
     kept = F.array_join(F.transform(left, lambda i: F.get("_split", i)), "\n")
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
     counts = [F.coalesce(F.size("_split"), F.lit(0)).cast("long").alias(lines), F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias(removed)]
-    return both.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), *counts, *([F.coalesce("_scrap", F.lit(False)).alias(scrap)] if scrap else []))
+    return both.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), *counts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
