@@ -59,7 +59,7 @@ def test_estimates_equal_concentration_steps_in_numpy(spark):
     x[:400] += 30
     df = spark.createDataFrame([("g", 1.0, float(a), float(b)) for a, b in x], "_group string, _weight double, p double, q double")
     r = outliers.estimates(df, {"p": 1e-4, "q": 1e-4}).first()
-    found = r["_models"][0]
+    found = r["_model"]
     spread = 1.4826 * np.median(np.abs(x - np.median(x, axis=0)), axis=0)
     starts = [np.array([[1, c], [c, 1]]) * np.outer(spread, spread) for c in (0.0, 0.3, -0.3, 0.6, 0.9)]
     mean, cov, logdet = min((_mcd(x, outliers.SHARE, s) for s in starts), key=lambda m: m[2])
@@ -67,7 +67,7 @@ def test_estimates_equal_concentration_steps_in_numpy(spark):
     assert np.allclose(found["mean"], mean, atol=0.02) and np.allclose(np.linalg.inv(np.array(found["inv"])), cov, rtol=0.05)
     assert found["logdet"] <= logdet + 0.02  # no numpy start finds a lesser determinant
     assert np.allclose(mean, [1, 2], atol=0.1)  # the outliers don't shift it
-    again = outliers.estimates(df.repartition(5), {"p": 1e-4, "q": 1e-4}).first()["_models"][0]
+    again = outliers.estimates(df.repartition(5), {"p": 1e-4, "q": 1e-4}).first()["_model"]
     assert np.allclose(again["mean"], found["mean"], rtol=1e-9)  # nor does the way that rows are dealt
 
 
@@ -75,8 +75,8 @@ def test_estimates_of_small_and_constant_groups(spark):
     rows = [("one", 1.0, 5.0, 5.0)] + [("two", 1.0, float(i), 0.0) for i in range(2)] + [("flat", 1.0, 1.0, 1.0)] * 40
     got = {r["_group"]: r for r in outliers.estimates(spark.createDataFrame(rows, "_group string, _weight double, p double, q double"), {"p": 0.1, "q": 0.1}).collect()}
     assert {k: (r["_n"], r["_h"]) for k, r in got.items()} == {"one": (1, 1), "two": (2, 2), "flat": (40, 30)}
-    assert got["one"]["_models"][0]["mean"] == [5.0, 5.0] and got["two"]["_models"][0]["mean"] == [0.5, 0.0]
-    assert np.isfinite(np.array(got["flat"]["_models"][0]["inv"])).all()
+    assert got["one"]["_model"]["mean"] == [5.0, 5.0] and got["two"]["_model"]["mean"] == [0.5, 0.0]
+    assert np.isfinite(np.array(got["flat"]["_model"]["inv"])).all()
 
 
 def test_cutoff_is_a_quantile():

@@ -155,37 +155,33 @@ def _at(rows: DataFrame, keys: list[str], cell: str, rank: Column) -> DataFrame:
     return cells.select(*keys, F.aggregate("_cells", start, step)["c"].alias(cell))
 
 
-def _sums(names: list[str], values: list[Column], weight: Column, on: Column, tag: str) -> list[Column]:
+def _sums(names: list[str]) -> list[Column]:
+    """Weighted moments of the coordinates."""
     k = len(names)
-    held = F.when(on, weight)
+    value, weight = [F.col(n) for n in names], F.col("_weight")
     return [
-        F.count(F.when(on, 1)).alias(f"{tag}_k"), F.sum(held).alias(f"{tag}_w"), *(F.sum(held * v).alias(f"{tag}_s{i}") for i, v in enumerate(values)),
-        *(F.sum(held * values[i] * values[j]).alias(f"{tag}_q{i}_{j}") for i in range(k) for j in range(i, k)),
+        F.count("*").alias("_k"), F.sum(weight).alias("_w"), *(F.sum(weight * v).alias(f"_s{i}") for i, v in enumerate(value)),
+        *(F.sum(weight * value[i] * value[j]).alias(f"_q{i}_{j}") for i in range(k) for j in range(i, k)),
     ]
 
 
-def _estimate(names: list[str], floors: dict[str, float], tag: str, factor: Column) -> Column:
+def _estimate(names: list[str], floors: dict[str, float], factor: Column) -> Column:
     """(mean, inv, logdet) from _sums: covariance about the mean, made consistent by factor, with the floors added."""
     k = len(names)
-    mean = [F.try_divide(F.col(f"{tag}_s{i}"), F.col(f"{tag}_w")) for i in range(k)]
+    mean = [F.try_divide(F.col(f"_s{i}"), F.col("_w")) for i in range(k)]
 
     def entry(i: int, j: int) -> Column:
         a, b = min(i, j), max(i, j)
-        cov = (F.col(f"{tag}_q{a}_{b}") - F.col(f"{tag}_w") * mean[a] * mean[b]) / F.col(f"{tag}_k") * factor
+        cov = (F.col(f"_q{a}_{b}") - F.col("_w") * mean[a] * mean[b]) / F.col("_k") * factor
         return F.greatest(cov, F.lit(0.0)) + floors[names[i]] ** 2 if i == j else cov
 
     solved = _inverse(F.array(*(F.array(*(entry(i, j) for j in range(k))) for i in range(k))), k)
     return F.struct(F.array(*mean).alias("mean"), solved["inv"].alias("inv"), solved["logdet"].alias("logdet"))
 
 
-def estimates(vectors: DataFrame, floors: dict[str, float], share: float = SHARE, first: int = FIRST, steps: int = STEPS) -> DataFrame:
-    """vectors(_group, _weight, coordinates v_...) as (_group, _n, _h, _models): one robust estimate of location and inverse scatter
-    a group, in an array of one. No group is gathered."""
+def _starts(vectors: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """(_group, _start, _model) of the three robust starts, a row each."""
     names, k = list(floors), len(floors)
-    n = F.col("_n")
-    half = F.least(n, F.greatest(F.ceil(n * share), F.floor((n + k + 1) / 2))).cast("long")
-    sizes = vectors.groupBy("_group").agg(F.count("*").alias("_n")).withColumn("_h", half)
-    # medians and median deviations of all coordinates
     middle = F.floor((F.col("_n") + 1) / 2)
 
     def medians(rows: DataFrame, values: list[Column]) -> DataFrame:
@@ -195,59 +191,67 @@ def estimates(vectors: DataFrame, floors: dict[str, float], share: float = SHARE
 
     centre = written(medians(vectors, [F.col(c) for c in names]), "mcd")
     dev = lambda i, c: (F.col(c) - F.get("_m", F.lit(i))) * F.sqrt("_weight")
-    scale = written(medians(_beside(vectors, centre), [F.abs(dev(i, c)) for i, c in enumerate(names)]).withColumnRenamed("_m", "_mad"), "mcd")
-    spread = [F.sqrt((1.4826 * F.get("_mad", F.lit(i))) ** 2 + floors[c] ** 2) for i, c in enumerate(names)]
-    known = centre.join(scale, "_group")
-    rows = _beside(vectors, known)
-    z = [dev(i, c) / spread[i] for i, c in enumerate(names)]
-    norm = F.sqrt(sum((v * v for v in z), F.lit(1e-9)))
-    signs, squashed = [v / norm for v in z], [F.tanh(v) for v in z]
-    moments = rows.groupBy("_group").agg(F.count("*").alias("_n"), *(F.sum(u[i] * u[j]).alias(f"{t}{i}_{j}") for t, u in (("a", signs), ("b", squashed)) for i in range(k) for j in range(i, k)))
-    moments = moments.join(known, "_group")
-
-    def start(tag: str | None) -> Column:
-        """Scales of the coordinates, turned by the correlation of the transformed deviations if there is one."""
-        def entry(i: int, j: int) -> Column:
-            if i == j:
-                return spread[i] ** 2
-            if tag is None:
-                return F.lit(0.0)
-            q = lambda a, b: F.col(f"{tag}{min(a, b)}_{max(a, b)}")
-            return F.coalesce(0.9 * F.try_divide(q(i, j), F.sqrt(q(i, i) * q(j, j))), F.lit(0.0)) * spread[i] * spread[j]
-
-        solved = _inverse(F.array(*(F.array(*(entry(i, j) for j in range(k))) for i in range(k))), k)
-        return F.struct(F.col("_m").alias("mean"), solved["inv"].alias("inv"), solved["logdet"].alias("logdet"))
-
-    now = written(moments.select("_group", F.array(start(None), start("a"), start("b")).alias("_models")).join(sizes, "_group"), "mcd")
-    finished(centre, scale)
-    factor = F.when(F.col("_h") < F.col("_n"), F.lit(consistency(share, k))).otherwise(1.0)
+    scale = medians(_beside(vectors, centre), [F.abs(dev(i, c)) for i, c in enumerate(names)]).withColumnRenamed("_m", "_mad")
+    spread = F.array(*(F.sqrt((1.4826 * F.get("_mad", F.lit(i))) ** 2 + floors[c] ** 2) for i, c in enumerate(names)))
+    known = written(centre.join(scale, "_group").select("_group", "_m", spread.alias("_spread")), "mcd")
+    width = [F.get("_spread", F.lit(i)) for i in range(k)]
+    scaled = _beside(vectors, known).select("_group", F.array(*(dev(i, c) / width[i] for i, c in enumerate(names))).alias("_z"))
+    # spatial signs, and deviations that are squashed one by one
+    norm = F.sqrt(F.aggregate("_z", F.lit(1e-9), lambda a, x: a + x * x))
+    turned = scaled.select("_group", F.posexplode(F.array(F.transform("_z", lambda x: x / norm), F.transform("_z", lambda x: F.tanh(x)))).alias("_start", "_u"))
+    u = [F.get("_u", F.lit(i)) for i in range(k)]
+    moments = turned.groupBy("_group", "_start").agg(*(F.sum(u[i] * u[j]).alias(f"_q{i}_{j}") for i in range(k) for j in range(i, k)))
+
+    def entry(i: int, j: int) -> Column:
+        """Scales of the coordinates, turned by the correlation of the transformed deviations."""
+        if i == j:
+            return width[i] ** 2
+        q = lambda a, b: F.col(f"_q{min(a, b)}_{max(a, b)}")
+        return F.coalesce(0.9 * F.try_divide(q(i, j), F.sqrt(q(i, i) * q(j, j))), F.lit(0.0)) * width[i] * width[j]
+
+    alone = known.select("_group", F.lit(2).alias("_start"), "_m", F.array(*(F.array(*(width[i] ** 2 if i == j else F.lit(0.0) for j in range(k))) for i in range(k))).alias("_cov"))
+    both = moments.join(known, "_group").select("_group", "_start", "_m", F.array(*(F.array(*(entry(i, j) for j in range(k))) for i in range(k))).alias("_cov"))
+    solved = both.unionByName(alone).select("_group", "_start", "_m", _inverse(F.col("_cov"), k).alias("_s"))
+    out = written(solved.select("_group", "_start", F.struct(F.col("_m").alias("mean"), F.col("_s.inv").alias("inv"), F.col("_s.logdet").alias("logdet")).alias("_model")), "mcd")
+    finished(centre, known)
+    return out
 
-    def concentrate(now: DataFrame, count: int) -> DataFrame:
-        far = _beside(vectors, now).select("*", *(_distance(names, F.get("_models", F.lit(s))).alias(f"_d{s}") for s in range(count)))
-        cell = lambda s: F.floor(F.log(F.greatest(F.col(f"_d{s}"), F.lit(1e-12))) * LOG_CELLS).cast("long")
-        long = far.select("_group", "_h", F.posexplode(F.array(*(cell(s) for s in range(count)))).alias("_s", "_c"))
-        cuts = _at(long, ["_group", "_h", "_s"], "_c", F.col("_h")).groupBy("_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_c"))), lambda x: x["_c"]).alias("_cuts"))
-        cuts = written(now.join(cuts, "_group"), "mcd")
-        near = _beside(vectors, cuts).select("*", *(_distance(names, F.get("_models", F.lit(s))).alias(f"_d{s}") for s in range(count)))
-        sums = near.groupBy("_group").agg(*(c for s in range(count) for c in _sums(names, [F.col(x) for x in names], F.col("_weight"), cell(s) <= F.get("_cuts", F.lit(s)), f"_{s}")))
-        made = sums.join(now.select("_group", "_n", "_h"), "_group").select("_group", "_n", "_h", F.array(*(_estimate(names, floors, f"_{s}", factor) for s in range(count))).alias("_models"))
-        out = written(made, "mcd")
-        finished(cuts)
+
+def estimates(vectors: DataFrame, floors: dict[str, float], share: float = SHARE, first: int = FIRST, steps: int = STEPS) -> DataFrame:
+    """vectors(_group, _weight, coordinates v_...) as (_group, _n, _h, _model): one robust estimate of location and inverse scatter
+    a group. No group is gathered. Starts are rows, so one plan of one size serves any number of them, and every step runs the
+    same code."""
+    names, k = list(floors), len(floors)
+    n = F.col("_n")
+    half = F.least(n, F.greatest(F.ceil(n * share), F.floor((n + k + 1) / 2))).cast("long")
+    sizes = vectors.groupBy("_group").agg(F.count("*").alias("_n")).withColumn("_h", half)
+    starts = _starts(vectors, floors)
+    now = written(starts.join(sizes, "_group").select("_group", "_start", "_n", "_h", "_model"), "mcd")
+    finished(starts)
+    factor = F.when(F.col("_h") < F.col("_n"), F.lit(consistency(share, k))).otherwise(1.0)
+    cell = F.floor(F.log(F.greatest(_distance(names, F.col("_model")), F.lit(1e-12))) * LOG_CELLS).cast("long")
+
+    def concentrate(now: DataFrame) -> DataFrame:
+        far = _beside(vectors, now).select("_group", "_start", "_h", cell.alias("_c"))
+        cut = _at(far, ["_group", "_start", "_h"], "_c", F.col("_h")).select("_group", "_start", F.col("_c").alias("_cut"))
+        cuts = written(now.join(cut, ["_group", "_start"]), "mcd")
+        sums = _beside(vectors, cuts).where(cell <= F.col("_cut")).groupBy("_group", "_start").agg(*_sums(names))
+        was = now.select("_group", "_start", "_n", "_h", F.col("_model.logdet").alias("_was"))
+        out = written(sums.join(was, ["_group", "_start"]).select("_group", "_start", "_n", "_h", "_was", _estimate(names, floors, factor).alias("_model")), "mcd")
+        finished(cuts, now)
         return out
 
     for _ in range(first):
-        now, before = concentrate(now, 3), now
-        finished(before)
-    best = written(now.select("_group", "_n", "_h", F.array(F.array_sort("_models", lambda x, y: F.when(x["logdet"] < y["logdet"], -1).when(x["logdet"] > y["logdet"], 1).otherwise(0))[0]).alias("_models")), "mcd")
+        now = concentrate(now)
+    best = F.min_by(F.struct("_start", "_n", "_h", "_model"), F.struct("_model.logdet", "_start")).alias("_b")
+    best = written(now.groupBy("_group").agg(best).select("_group", "_b.*"), "mcd")
     finished(now)
     for _ in range(steps):
-        now = concentrate(best, 1)
-        fall = now.join(best.select("_group", F.col("_models")[0]["logdet"].alias("_was")), "_group").agg(F.max(F.col("_was") - F.col("_models")[0]["logdet"])).first()[0]
-        finished(best)
-        best = now
+        best = concentrate(best)
+        fall = best.agg(F.max(F.col("_was") - F.col("_model.logdet"))).first()[0]
         if fall is None or fall <= SETTLED:
             break
-    return best
+    return best.select("_group", "_n", "_h", "_model")
 
 
 def group_key() -> Column:
@@ -266,14 +270,14 @@ def base_failed() -> Column:
 
 
 def fitted(stats: DataFrame) -> DataFrame:
-    """(_group, _models): the estimates of documents that pass the base rules; what those reject can't shift them."""
-    return estimates(stats.where(~base_failed()).select("_group", "_weight", *FLOORS), FLOORS).select("_group", "_models")
+    """(_group, _model): the estimates of documents that pass the base rules; what those reject can't shift them."""
+    return estimates(stats.where(~base_failed()).select("_group", "_weight", *FLOORS), FLOORS).select("_group", "_model")
 
 
 def verdicts(stats: DataFrame, models: DataFrame, tail: float = TAIL) -> DataFrame:
     """stats with base_failed, distance and kept. A group all of whose documents fail the base rules has no estimate."""
     every = stats.select("_group").distinct().join(models, "_group", "left")
-    judged = _beside(stats, every).select("*", base_failed().alias("base_failed"), F.coalesce(_distance(list(FLOORS), F.get("_models", F.lit(0))), F.lit(0.0)).alias("distance"))
+    judged = _beside(stats, every).select("*", base_failed().alias("base_failed"), F.coalesce(_distance(list(FLOORS), F.col("_model")), F.lit(0.0)).alias("distance"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff(tail, len(FLOORS))))
 
 
