@@ -226,7 +226,8 @@ def estimates(vectors: DataFrame, floors: dict[str, float], share: float = SHARE
     half = F.least(n, F.greatest(F.ceil(n * share), F.floor((n + k + 1) / 2))).cast("long")
     sizes = vectors.groupBy("_group").agg(F.count("*").alias("_n")).withColumn("_h", half)
     starts = _starts(vectors, floors)
-    now = written(starts.join(sizes, "_group").select("_group", "_start", "_n", "_h", "_model"), "mcd")
+    never = F.lit(float("inf"))
+    now = written(starts.join(sizes, "_group").select("_group", "_start", "_n", "_h", "_model", never.alias("_least"), F.col("_model").alias("_kept"), never.alias("_fall")), "mcd")
     finished(starts)
     factor = F.when(F.col("_h") < F.col("_n"), F.lit(consistency(share, k))).otherwise(1.0)
     cell = F.floor(F.log(F.greatest(_distance(names, F.col("_model")), F.lit(1e-12))) * LOG_CELLS).cast("long")
@@ -236,22 +237,25 @@ def estimates(vectors: DataFrame, floors: dict[str, float], share: float = SHARE
         cut = _at(far, ["_group", "_start", "_h"], "_c", F.col("_h")).select("_group", "_start", F.col("_c").alias("_cut"))
         cuts = written(now.join(cut, ["_group", "_start"]), "mcd")
         sums = _beside(vectors, cuts).where(cell <= F.col("_cut")).groupBy("_group", "_start").agg(*_sums(names))
-        was = now.select("_group", "_start", "_n", "_h", F.col("_model.logdet").alias("_was"))
-        out = written(sums.join(was, ["_group", "_start"]).select("_group", "_start", "_n", "_h", "_was", _estimate(names, floors, factor).alias("_model")), "mcd")
+        was = now.select("_group", "_start", "_n", "_h", "_least", "_kept")
+        made = sums.join(was, ["_group", "_start"]).select("_group", "_start", "_n", "_h", _estimate(names, floors, factor).alias("_model"), "_least", "_kept")
+        new = F.col("_model.logdet")
+        # on a grid a step may raise a determinant a little, so the least one is kept
+        out = written(made.select("_group", "_start", "_n", "_h", "_model", F.least("_least", new).alias("_least"), F.when(new < F.col("_least"), F.col("_model")).otherwise(F.col("_kept")).alias("_kept"), (F.col("_least") - new).alias("_fall")), "mcd")
         finished(cuts, now)
         return out
 
     for _ in range(first):
         now = concentrate(now)
-    best = F.min_by(F.struct("_start", "_n", "_h", "_model"), F.struct("_model.logdet", "_start")).alias("_b")
+    best = F.min_by(F.struct("_start", "_n", "_h", "_model", "_least", "_kept", "_fall"), F.struct("_least", "_start")).alias("_b")
     best = written(now.groupBy("_group").agg(best).select("_group", "_b.*"), "mcd")
     finished(now)
     for _ in range(steps):
         best = concentrate(best)
-        fall = best.agg(F.max(F.col("_was") - F.col("_model.logdet"))).first()[0]
+        fall = best.agg(F.max("_fall")).first()[0]
         if fall is None or fall <= SETTLED:
             break
-    return best.select("_group", "_n", "_h", "_model")
+    return best.select("_group", "_n", "_h", F.col("_kept").alias("_model"))
 
 
 def group_key() -> Column:
