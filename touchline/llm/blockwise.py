@@ -3,13 +3,15 @@
 Documents are dealt to blocks of about BLOCK bytes of text by a hash. A block asks for its different 64-bit keys, each once
 however often it occurs, with its count of it; keys are dealt to ranges, in which the counts of all blocks meet, and each block
 gets its answers back. Keys move as sorted arrays, a row for each block and range, so a key that every block holds is a number in
-each row and no hot group; there are as many ranges as blocks, so a range holds about as many keys as a block, however large the
-input is. The answers then meet the block's documents, which are read one after the other.
+each row and no hot group. There are as many ranges as blocks, but RANGES at most, so that rows stay long. Ranges are read row by
+row: what a task holds are a range's different keys, or a block's, but never all that blocks ask. The answers then meet the
+block's documents, which are read one after the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from .chunks import text_bytes
 
 #: Bytes of texts of a block; bytes of texts that are worked on at a time, if a text isn't longer; least number of blocks; keys
-#: that are held before those that are equal are put together.
-BLOCK, WINDOW, LEAST, HELD = 1 << 25, 1 << 22, 8, 1 << 22
+#: that are held before those that are equal are put together; ranges, at most; keys of a row of totals.
+BLOCK, WINDOW, LEAST, HELD, RANGES, ROW = 1 << 25, 1 << 22, 8, 1 << 22, 4096, 1 << 20
 
 Keys = tuple[np.ndarray, np.ndarray]
 QUESTIONS = "block int, range int, size int, keys binary, counts binary"
@@ -95,16 +97,17 @@ def runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBat
 
 def questions(docs: DataFrame, keys_of: Callable[[pa.RecordBatch, int, int, np.ndarray, np.ndarray], Keys], range_of: Callable[[np.ndarray], np.ndarray], blocks: int) -> DataFrame:
     """docs(block, text, ...) as QUESTIONS. keys_of: keys and counts of a window of a batch; range_of: a number for each key, of
-    which the remainder by the number of blocks is its range."""
+    which the remainder by the number of ranges is its range."""
+    ranges = min(blocks, RANGES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, Gathered()
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, counts = held.done()
-            at = (range_of(keys) % np.uint64(blocks)).astype(np.int64)
+            at = (range_of(keys) % np.uint64(ranges)).astype(np.int64)
             order = np.argsort(at, kind="stable")
-            edge = np.searchsorted(at[order], np.arange(blocks + 1))
+            edge = np.searchsorted(at[order], np.arange(ranges + 1))
             some = np.flatnonzero(np.diff(edge)).tolist()
             parts = [order[edge[r] : edge[r + 1]] for r in some]
             columns = [pa.array([now] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(list(map(len, parts)), pa.int32()), pa.array([pack(keys[p], True) for p in parts], pa.binary()), pa.array([pack(counts[p], False) for p in parts], pa.binary())]
@@ -126,31 +129,64 @@ def questions(docs: DataFrame, keys_of: Callable[[pa.RecordBatch, int, int, np.n
     return placed.mapInArrow(run, QUESTIONS)
 
 
-def totals(rows: list[tuple[bytes, bytes]]) -> Keys:
-    """The keys of a range, and the sums of their counts over all blocks."""
-    held = Gathered()
-    for keys, counts in rows:
-        held.add(unpack(keys, True), unpack(counts, False).view(np.int64))
-    return held.done()
+def by_range(rows: DataFrame, work: Callable[[int, Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str, blocks: int, order: str | None = None) -> DataFrame:
+    """work on the rows(range, ...) of each range, given one after the other, by a column's order."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for number, part in groupby(each, key=lambda r: r[0]):
+            yield from work(number, part)
 
-def by_range(asked: DataFrame, work: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]], schema: str, blocks: int) -> DataFrame:
-    """work on each range's rows of asked(range, ...), which come sorted by their other columns' order, range by range."""
+    placed = rows.select("range", *(c for c in rows.columns if c != "range")).repartition(min(blocks, RANGES), "range")
+    return placed.sortWithinPartitions("range", *([order] if order else [])).mapInArrow(run, schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            for number, part in runs(b, 0):
-                if number != now:
-                    if held:
-                        yield from work(now, held)
-                    now, held = number, []
-                held += list(zip(*(c.to_pylist() for c in part.columns[1:])))
-        if held:
-            yield from work(now, held)
-
-    placed = asked.select("range", *(c for c in asked.columns if c != "range")).repartition(blocks, "range").sortWithinPartitions("range")
-    return placed.mapInArrow(run, schema)
+
+def _totals(number: int, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held = Gathered()
+    for _, keys, counts in rows:
+        held.add(unpack(keys, True), unpack(counts, False).view(np.int64))
+    keys, counts = held.done()
+    for i in range(0, keys.size, ROW):
+        columns = [pa.array([number], pa.int32()), pa.array([pack(keys[i : i + ROW], True)], pa.binary()), pa.array([pack(counts[i : i + ROW], False)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["range", "keys", "counts"])
+
+
+def totals(asked: DataFrame, blocks: int) -> DataFrame:
+    """(range, keys, counts): the different keys of all blocks and the sums of their counts, some to a row."""
+    return by_range(asked.select("range", "keys", "counts"), _totals, "range int, keys binary, counts binary", blocks)
+
+
+def answers(asked: DataFrame, known: DataFrame, work: Callable[[list[tuple]], Callable[[np.ndarray], bytes | None]], blocks: int, more: DataFrame | None = None) -> DataFrame:
+    """(block, range, answer) to asked. work: from a range's rows (keys, counts, *more) of known and more(range, ...), which have nulls for
+    each other's columns, makes what answers sorted keys of the range; None is no answer."""
+    rest = more.columns[1:] if more is not None else []
+    kinds = {f.name: f.dataType for f in more.schema} if more is not None else {}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    rows = known.select("range", F.lit(-1).alias("block"), "keys", "counts", *(none(c) for c in rest))
+    if more is not None:
+        rows = rows.unionByName(more.select("range", F.lit(-1).alias("block"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), *rest))
+    rows = rows.unionByName(asked.select("range", "block", "keys", F.lit(None).cast("binary").alias("counts"), *(none(c) for c in rest)))
+
+    def run(number: int, part: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held, answer = [], None
+        for _, block, *row in part:
+            if block < 0:
+                held.append(row)
+                continue
+            if answer is None:
+                answer = work(held)
+                held = []
+            if (said := answer(unpack(row[0], True))) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([number], pa.int32()), pa.array([said], pa.binary())], names=["block", "range", "answer"])
+
+    return by_range(rows, run, "block int, range int, answer binary", blocks, "block")
+
+
+def known_keys(rows: list[tuple]) -> Keys:
+    """The keys and totals among a range's rows, sorted."""
+    own = [(unpack(k, True), unpack(c, False).view(np.int64)) for k, c, *_ in rows if k is not None]
+    own.sort(key=lambda x: int(x[0][0]))
+    return np.concatenate([k for k, _ in own] or [np.zeros(0, np.uint64)]), np.concatenate([c for _, c in own] or [np.zeros(0, np.int64)])
 
 
 def with_answers(docs: DataFrame, answers: DataFrame, work: Callable[[dict[int, bytes], Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, blocks: int) -> DataFrame:

@@ -136,15 +136,16 @@ def _asked(batch: pa.RecordBatch, i: int, j: int, data: np.ndarray, begin: np.nd
 
 
 def _told(least: int):
-    def work(number: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """For each block, which of its keys are frequent."""
-        keys, counts = blockwise.totals([(r[2], r[3]) for r in rows])
+    def work(rows: list[tuple]):
+        """Which of a block's keys are frequent."""
+        keys, counts = blockwise.known_keys(rows)
         frequent = keys[counts >= least]
-        for block, _, own, _ in rows:
-            some = blockwise.unpack(own, True)
-            some = some[np.isin(some, frequent, assume_unique=True)]
-            if some.size:
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([number], pa.int32()), pa.array([blockwise.pack(some, True)], pa.binary())], names=["block", "range", "answer"])
+
+        def answer(own: np.ndarray) -> bytes | None:
+            some = own[np.isin(own, frequent, assume_unique=True)]
+            return blockwise.pack(some, True) if some.size else None
+
+        return answer
 
     return work
 
@@ -190,8 +191,8 @@ def counts(docs: DataFrame, least: int = TIMES, words: int = LONGEST) -> DataFra
     docs = docs.select("doc_id", F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     blocks = blockwise.blocks_for(docs)
     dealt = blockwise.dealt(docs, blocks).select("block", "text", "lang")
-    asked = blockwise.questions(dealt, _asked, lambda k: mix(k), blocks)
-    told = blockwise.by_range(asked, _told(least), "block int, range int, answer binary", blocks)
+    asked = written(blockwise.questions(dealt, _asked, mix, blocks), "asked")
+    told = blockwise.answers(asked, blockwise.totals(asked, blocks), _told(least), blocks)
     some = blockwise.with_answers(dealt, told, _counted(words), "lang string, words int, phrase string, f long", blocks)
     return some.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, bitslice, bpe, collocations, gam, jaccard, lines, outliers, packing, seekable, spelling, toxicity
+from . import archive, bitslice, bpe, collocations, contexts, gam, jaccard, lines, outliers, packing, seekable, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_pairs": gam.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fuzzy_lines": lines.query,
     "op10_speculative_bpe": bpe.query,
     "op11_trie_spelling": spelling.query,
+    "op12_context_tree": contexts.query,
     "op13_suffix_collocations": collocations.query,
 }
 ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": bitslice.SQL, "op4_content_addressed_warc": archive.SQL, "op13_suffix_collocations": collocations.SQL}
