@@ -145,11 +145,20 @@ DATA = "/root/testdata/sf0.01"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
-@pytest.mark.parametrize("query, column, least", [(gam.query, "quality", 0.95), (toxicity.query, "toxic", 0.9)])
-def test_held_out_accuracy(spark, query, column, least):
-    scored = query(spark, DATA).where("held_out").join(spark.read.parquet(f"{DATA}/labels.parquet").where(f"{column} is not null"), "doc_id")
-    hit, n = scored.agg(F.avg((F.col("predicted") == F.col(column)).cast("int")), F.count("*")).first()
-    assert n > 20 and hit >= least
+@pytest.mark.parametrize("query, column, least", [(gam.query, "quality", (0.95, 0.95)), (toxicity.query, "toxic", (0.95, 0.8))])
+def test_held_out_precision_and_recall(spark, query, column, least):
+    """Of the rows that are marked 1; always answering the commoner label would reach neither."""
+    rows = query(spark, DATA).where("held_out").join(spark.read.parquet(f"{DATA}/labels.parquet").where(f"{column} is not null"), "doc_id").select("predicted", column).collect()
+    both = sum(p == y == 1 for p, y in rows)
+    assert sum(y for _, y in rows) > 10 and both >= least[0] * sum(p for p, _ in rows) and both >= least[1] * sum(y for _, y in rows)
+
+
+def test_words_longer_than_a_stem_are_told_apart(spark):
+    head = "q" * toxicity.LONG
+    rows = [(i, f"ta lo mi {head}{'bad' if i % 2 else 'fine'} ru", i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lex = toxicity.learn(df, df.select("doc_id", F.col("toxic").alias("label")))
+    assert set(lex.weights) == {f"{head}bad "}
 
 
 def test_additive_model_learns_an_interaction():

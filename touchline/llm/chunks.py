@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE_LEVEL = regex.compile(BYTE_LEVEL)
 #: Different chunks remembered by one Python worker, some 50 bytes each.
-MEMORY = 3_000_000
+MEMORY = 1_500_000
 #: Bytes of text that are worked on at a time, if a text isn't longer.
 WINDOW = 2_000_000
 #: Chunks given to the library in one string.

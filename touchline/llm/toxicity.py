@@ -6,8 +6,8 @@ lexicon stems at word starts together with exception phrases; a stem inside an e
 weights are divided by the text's length in words, and a logistic curve turns that density into a score.
 
 The lexicon, the exception phrases and the curve are learned from a bounded sample of labelled rows (max_rows, lowest hashes of
-doc_id first). An entry is a stem, 4 to 24 letters at the start of a word (a longer word is known by its first 24), or a whole
-word of fewer letters, with its log-odds as weight; all that occur in the sample are candidates and counted by Spark. Scores use
+doc_id first). An entry is a stem, 4 to 24 letters at the start of a word, or a whole word of fewer or more letters, with its
+log-odds as weight; all that occur in the sample are candidates and counted by Spark. Scores use
 the text alone.
 
 Rows: a null or empty text scores as a text without any hit; texts of any length are read whole; repeated rows and null
@@ -36,8 +36,9 @@ from .common import table, written
 LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝвмнкт" "αεορνικτυχ", "aeopcyxijsdhqwbmhkt" "aeopviktux"))
 STANDS_FOR = dict(zip("0134578@$", "oieastbas"))
 
-#: Letters of a stem, at least and at most; toxic rows that must hold an entry; least log-odds.
-SHORT, LONG, ROWS, ODDS = 4, 24, 4, 2.0
+#: Letters of a stem, at least and at most; toxic rows that must hold an entry; least log-odds; keys that a task counts at a time,
+#: if a text hasn't more.
+SHORT, LONG, ROWS, ODDS, KEYS = 4, 24, 4, 2.0, 200_000
 
 
 class Folding(dict):
@@ -65,8 +66,8 @@ def fold(text: str | None) -> str:
 
 
 def stems(words: Iterable[str]) -> set[str]:
-    """Candidates: the stems of words, and shorter words with the space that ends them."""
-    return {w[:k] if len(w) >= SHORT else f"{w} " for w in words for k in range(min(len(w), SHORT), min(len(w), LONG) + 1)}
+    """Candidates: the stems of words, and shorter and longer words with the space that ends them."""
+    return {w[:k] if len(w) >= SHORT else f"{w} " for w in words for k in range(min(len(w), SHORT), min(len(w), LONG) + 1)} | {f"{w} " for w in words if len(w) > LONG}
 
 
 @dataclass
@@ -125,11 +126,11 @@ def _counts(rows: DataFrame, key) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n.update((k, label) for k in key(text))
-            if len(n) > 500_000:
-                yield out(n)
-                n = Counter()
+            for text, label in zip(b.column(0), b.column(1).to_pylist()):
+                n.update((k, label) for k in key(text.as_py()))
+                if len(n) > KEYS:
+                    yield out(n)
+                    n = Counter()
         yield out(n)
 
     def out(n: Counter) -> pa.RecordBatch:
