@@ -15,6 +15,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,9 @@ from .chunks import text_bytes
 
 #: Bytes of texts of a block; bytes of texts that are worked on at a time, if a text isn't longer; least number of blocks; keys
 #: that are held before those that are equal are put together; ranges, at most; keys of a row of totals.
-BLOCK, WINDOW, LEAST, HELD, RANGES, ROW = 1 << 25, 1 << 22, 8, 1 << 22, 4096, 1 << 20
+BLOCK, WINDOW, LEAST, HELD, RANGES, ROW = 1 << 25, 1 << 21, 8, 1 << 21, 4096, 1 << 20
+#: Rows of a batch that are taken up at a time.
+ROWS = 256
 
 Keys = tuple[np.ndarray, np.ndarray]
 QUESTIONS = "block int, range int, size int, keys binary, counts binary"
@@ -79,11 +82,12 @@ class Gathered:
 
 def windows(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Of a batch, from row i to row j: their bytes, and where each text begins, with the end."""
-    data, begin = text_bytes(batch.column(text))
-    i, n = 0, begin.size - 1
+    size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy().astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    i, n = 0, batch.num_rows
     while i < n:
-        j = max(i + 1, int(np.searchsorted(begin, begin[i] + WINDOW, side="right")) - 1)
-        yield i, j, data[begin[i] : begin[j]], begin[i : j + 1] - begin[i]
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + WINDOW, side="right")) - 1)
+        yield i, j, *text_bytes(batch.column(text).slice(i, j - i))
         i = j
 
 
@@ -133,7 +137,7 @@ def by_range(rows: DataFrame, work: Callable[[int, Iterator[tuple]], Iterator[pa
     """work on the rows(range, ...) of each range, given one after the other, by a column's order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        each = (r for b in batches for i in range(0, b.num_rows, ROWS) for r in zip(*(c.to_pylist() for c in b.slice(i, ROWS).columns)))
         for number, part in groupby(each, key=lambda r: r[0]):
             yield from work(number, part)
 

@@ -230,7 +230,8 @@ def _weighted(nodes: DataFrame) -> DataFrame:
 
 
 def upper_lines(sums: DataFrame) -> DataFrame:
-    """(context, lines): for each context of TOP - 1 bytes, what the upper depths make of a lower one's probability, by node."""
+    """(context, lines): for each context of TOP - 1 bytes, its nodes, then for each of them the two numbers of the line that the upper
+    depths make of a lower one's probability."""
     group = lambda d, log: d.groupBy("context", "known").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum(log).alias("log"))
     levels = [written(_weighted(group(sums, "log")), "levels")]
     for _ in range(TOP - 1):
@@ -241,16 +242,17 @@ def upper_lines(sums: DataFrame) -> DataFrame:
         here = level.select(F.col("context").alias("_c"), F.shiftright("context", 8).alias("context"), "known", "one", "weight")
         now = here.join(now, ["context", "known"]).select(F.col("_c").alias("context"), "known", (F.col("a") + F.col("b") * F.col("weight") * F.col("one")).alias("a"), (F.col("b") * (1 - F.col("weight"))).alias("b"))
     # a context has 255 nodes at most
-    return now.groupBy("context").agg(F.collect_list(F.struct("known", "a", "b")).alias("lines"))
+    every = now.groupBy("context").agg(F.collect_list(F.struct("known", "a", "b")).alias("_x"))
+    return every.select("context", F.concat(*(F.transform("_x", lambda x, c=c: x[c].cast("double")) for c in ("known", "a", "b"))).alias("lines"))
 
 
 def _answered(rows: list[tuple]):
     lines: dict[int, np.ndarray] = {}
     for _, _, context, nodes in rows:
         if context is not None:
-            one = lines.setdefault(context, np.zeros((2, 256)))
-            for node in nodes:
-                one[:, node["known"]] = node["a"], node["b"]
+            known, a, b = np.array(nodes).reshape(3, -1)
+            lines[context] = np.zeros((2, 256))
+            lines[context][:, known.astype(np.int64)] = a, b
     keys, counts = blockwise.known_keys(rows)
     split = int(np.searchsorted(keys, _WORD))
     log = np.concatenate([part.log10(lines).astype("<f4") for _, part in parts(keys[:split], counts[:split])] or [np.zeros(0, "<f4")])
