@@ -243,7 +243,7 @@ def upper_lines(sums: DataFrame) -> DataFrame:
         now = here.join(now, ["context", "known"]).select(F.col("_c").alias("context"), "known", (F.col("a") + F.col("b") * F.col("weight") * F.col("one")).alias("a"), (F.col("b") * (1 - F.col("weight"))).alias("b"))
     # a context has 255 nodes at most
     every = now.groupBy("context").agg(F.collect_list(F.struct("known", "a", "b")).alias("_x"))
-    return every.select("context", F.concat(*(F.transform("_x", lambda x, c=c: x[c].cast("double")) for c in ("known", "a", "b"))).alias("lines"))
+    return every.select("context", F.expr("concat(transform(_x, x -> double(x.known)), transform(_x, x -> x.a), transform(_x, x -> x.b))").alias("lines"))
 
 
 def _answered(rows: list[tuple]):

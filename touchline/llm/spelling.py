@@ -34,7 +34,7 @@ from .chunks import span_hashes, text_bytes
 from .common import table, written
 
 #: Words of a part of the trie; bytes of texts that are counted together, if a text isn't longer.
-PART, WINDOW = 4096, 4_000_000
+PART, WINDOW = 4096, 2_000_000
 #: Code points of a word and its occurrences, at least; how much more frequent its form is.
 LETTERS, TIMES, MORE = 5, 3, 2
 
