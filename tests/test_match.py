@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import names as N
 from touchline.functions import scalar as X
-from touchline.operators import features, fixtures, model, ratings, state, windows
+from touchline.operators import boosting, features, fixtures, model, ratings, state, windows
 from touchline.sources import feeds, files, html
 from touchline.streaming import micro
 
@@ -269,7 +269,7 @@ def test_digest(spark):
     assert fixtures.digest(rows.limit(0), edge, "2024-05-01").first()["text"].endswith("No matches.")
 
 
-def test_model_trains_predicts_and_gates(spark):
+def test_model_trains_predicts_and_gates(spark, tmp_path):
     rng, rows = random.Random(4), []
     for s in range(6):
         for i in range(60):
@@ -277,8 +277,11 @@ def test_model_trains_predicts_and_gates(spark):
             x = 2 if h < a else 0
             rows.append((s * 60 + i, dt.date(2015 + s, 8, 1) + dt.timedelta(days=i), f"{2015 + s}/{16 + s}", "L", h, a, x + rng.randrange(2), 1, 5, 3))
     df = spark.createDataFrame(rows, COLUMNS).withColumns({"outcome": X.outcome(F.col("home_score"), F.col("away_score")), "odds_home": F.lit(None).cast("double"), "odds_draw": F.lit(None).cast("double"), "odds_away": F.lit(None).cast("double")})
-    fitted, held = model.train(df, sizes=(3,), seeds=2)
-    assert len(fitted.members) == 2 and len(fitted.columns) == 81 and held["n"] == 120 and held["accuracy"] > 0.5
+    fitted, held = model.train(df, settings=boosting.Settings(rate=0.3, depth=2, least=2.0, rounds=6, patience=2), seeds=2)
+    assert len(fitted.boosted.rounds[0]) == 2 and len(fitted.columns) == 81 and held["n"] == 120 and held["accuracy"] > 0.5
+    assert len(fitted.boosted.rounds) == int(held["rounds"] * 1.1) and held["log_loss"] < held["prior_log_loss"]
+    fitted.save(spark, str(tmp_path / "model"))
+    fitted = model.Ensemble.load(spark, str(tmp_path / "model"))
     assert model.accepted(held, None) and not model.accepted({"accuracy": 0.4}, {"accuracy": 0.5}) and model.accepted({"accuracy": 0.495}, {"accuracy": 0.5})
     ask = spark.createDataFrame([(1, dt.date(2022, 1, 1), "L", "fc a", "F"), (2, dt.date(2022, 1, 1), "L", "Nobody", "B")], "seq long, date date, league string, home string, away string")
     got = {r["seq"]: r for r in model.batch(fitted, ask, df, strict=True).collect()}

@@ -26,12 +26,12 @@ def liveness(fixtures: DataFrame, now: Column) -> DataFrame:
     return fixtures.withColumns({"live": playing & recent, "stalled": playing & ~recent})
 
 
-def staleness(fixtures: DataFrame, now: Column) -> DataFrame:
-    """One row: how long ago anything was written, and whether that is within the windows in which live states, and the feed as a
-    whole, are trusted."""
+def staleness(fixtures: DataFrame, now: Column, *by: str) -> DataFrame:
+    """A row, or one for each value of `by`: when anything was written last, and whether that is within the windows in which live
+    states, and the feed as a whole, are trusted."""
     last = F.max("updated_at")
     age = hours_since(last, now)
-    return fixtures.agg(last.alias("last_update"), F.coalesce(age <= LIVE_HOURS, F.lit(False)).alias("live_trusted"), F.coalesce(age <= FRESH_HOURS, F.lit(False)).alias("feed_trusted"))
+    return fixtures.groupBy(*by).agg(last.alias("last_update"), F.coalesce(age <= LIVE_HOURS, F.lit(False)).alias("live_trusted"), F.coalesce(age <= FRESH_HOURS, F.lit(False)).alias("feed_trusted"))
 
 
 def between(fixtures: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import names as N
 from touchline.functions import scalar as X
-from touchline.operators import badges, features, fixtures, model, state, windows
+from touchline.operators import badges, boosting, features, fixtures, model, state, windows
 from touchline.plans import testdata as D
 from touchline.plans.queries import NOW, query
 
@@ -40,12 +40,7 @@ def fixture_liveness(spark, d):
 def feed_staleness(spark, d):
     """Each league's feed; those beyond the first letter lack their newest writes, so that both windows matter."""
     rows = _feed(spark, d).where("seq % 30 >= 5 or league < 'B'")
-    leagues = [r["league"] for r in rows.select("league").distinct().collect()]  # five at most
-    one = lambda x: fixtures.staleness(rows.where(F.col("league") == x), _now()).select(F.lit(x).alias("league"), "live_trusted", "feed_trusted")
-    out = one(leagues[0])
-    for x in leagues[1:]:
-        out = out.unionByName(one(x))
-    return out
+    return fixtures.staleness(rows, _now(), "league").select("league", "live_trusted", "feed_trusted")
 
 
 @query(_F + "SELECT seq, match_key FROM f WHERE kickoff_utc >= TIMESTAMP '1995-03-01 06:00:00' AND kickoff_utc < TIMESTAMP '1995-03-31 06:00:00'")
@@ -291,8 +286,8 @@ def ordered_features(spark, d):
 
 @query(None)
 def model_batch(spark, d):
-    """A small ensemble trained on the finished matches predicts the scheduled ones; tested for its sums, errors and gate."""
+    """A small ensemble trained on the finished matches predicts the scheduled ones; its trees are tested against a fit on one machine."""
     m = D.matches(spark, d)
     done = m.where("status_group = 'finished'")
-    fitted, _ = model.train(done, sizes=(10, 20), seeds=2)
+    fitted, _ = model.train(done, settings=boosting.Settings(rate=0.1, rounds=5, patience=2), seeds=2)
     return model.batch(fitted, m.where("status_group = 'scheduled'"), done)
