@@ -24,7 +24,7 @@ from .chunks import text_bytes
 
 #: Bytes of texts of a block; bytes of texts that are worked on at a time, if a text isn't longer; least number of blocks; keys
 #: that are held before those that are equal are put together; ranges, at most; keys of a row of totals.
-BLOCK, WINDOW, LEAST, HELD, RANGES, ROW = 1 << 25, (1 << 21) - 1, 8, 1 << 21, 4096, 1 << 20
+BLOCK, WINDOW, LEAST, HELD, RANGES, ROW = 1 << 24, (1 << 20) - 1, 8, 1 << 20, 4096, 1 << 20
 #: Rows of a batch that are taken up at a time.
 ROWS = 256
 
