@@ -167,7 +167,7 @@ def test_feeds(spark):
 
 
 def test_odds_rows(spark):
-    page = '<table><tr><td><a href="/x">Home FC - Away &amp; Co</a></td><td>>2:1<</td><td data-odd="1.50"></td><td data-odd="4.1"></td><td data-odd="6"></td><td>05.03.</td></tr><tr><td>none</td></tr></table>'
+    page = '<table><tr><td><a href="/x">Home FC - Away &amp; Co</a></td><td>2:1</td><td data-odd="1.50"></td><td data-odd="4.1"></td><td data-odd="6"></td><td>05.03.</td></tr><tr><td>none</td></tr></table>'
     r = html.odds_rows(spark.createDataFrame([(page,)], "html string"), "html", F.lit("2024-03-10").cast("timestamp")).collect()
     assert [(x["date"], x["home_team"], x["away_team"], x["home_score"], x["odds_away"]) for x in r] == [(dt.date(2024, 3, 5), "Home FC", "Away & Co", 2, 6.0)]
 
@@ -245,7 +245,7 @@ def test_archive_pages(spark):
 
 
 def test_undated_rows_and_few_odds(spark):
-    row = '<tr><td><a class="in-match">A - B</a></td><td>>2:1<</td><td data-odd="1.5"></td><td data-odd="4"></td></tr>'
+    row = '<tr><td><a class="in-match">A - B</a></td><td>2:1</td><td data-odd="1.5"></td><td data-odd="4"></td></tr>'
     r = html.odds_rows(spark.createDataFrame([(row + row,)], "html string"), "html", F.lit("2024-03-10").cast("timestamp")).collect()
     assert [(str(x["date"]), x["home_team"], x["odds_home"]) for x in r] == [("2024-03-10", "A", None)]
 

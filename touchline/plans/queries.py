@@ -407,13 +407,20 @@ def html_links(spark, d):
     return html.anchors(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html")
 
 
-@query("SELECT page_id, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title FROM pages", bare=True)
+@query("""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pages""", bare=True)
 def page_titles(spark, d):
     from touchline.sources import html
 
     return html.titles(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html")
 
 
+@query("""SELECT page_id, tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g'), '<([a-z0-9]+)[ />]', 1)) AS tag FROM pages) GROUP BY ALL""", bare=True)
+def page_outline(spark, d):
+    from touchline.sources import html
+
+    return html.outline(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html").where("tag not in ('script', 'style')").select("page_id", "tag", "n")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", bare=True)
 def json_props(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
