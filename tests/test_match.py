@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import names as N
 from touchline.functions import scalar as X
-from touchline.operators import boosting, features, fixtures, model, ratings, state, windows
+from touchline.operators import boosting, features, fixtures, model, ratings, state, store, windows
 from touchline.sources import feeds, files, html
 from touchline.streaming import micro
 
@@ -184,9 +184,9 @@ def test_stream_keeps_state(spark, tmp_path):
     cols = "match_key string, progress int, home_score int, updated_at long"
     for i, rows in enumerate(([("a", 0, None, 1)], [("a", 3, 2, 2), ("b", 0, None, 2)], [("a", 2, 1, 3)])):
         spark.createDataFrame(rows, cols).write.mode("append").parquet(str(tmp_path / "in"))
-        q = micro.keep_fixtures(spark.readStream.schema(cols).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+        q = micro.keep_fixtures(spark.readStream.schema(cols).parquet(str(tmp_path / "in")), store.Store(spark, str(tmp_path / "out")), str(tmp_path / "cp"))
         q.awaitTermination()
-    got = {r["match_key"]: (r["progress"], r["home_score"]) for r in micro.snapshot(spark, str(tmp_path / "out")).collect()}
+    got = {r["match_key"]: (r["progress"], r["home_score"]) for r in store.Store(spark, str(tmp_path / "out")).read("fixtures").collect()}
     assert got == {"a": (3, 2), "b": (0, None)}
 
 

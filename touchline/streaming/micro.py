@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from touchline.operators import state
+from touchline.operators.store import Store
 
 
 def daily(events: DataFrame, late: str | None = None) -> DataFrame:
@@ -24,28 +24,12 @@ def sliding(events: DataFrame, seconds: int = 3600) -> DataFrame:
     return events.select("event_id", F.count("*").over(order).alias("n"))
 
 
-def snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest finished snapshot under path, or the newest before a version; versions are folders named by number."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    done = [f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    done = [x for x in done if before is None or int(x) < before]
-    return spark.read.parquet(f"{path}/{max(done, key=int)}") if done else None
-
-
-def keep_fixtures(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Upserts each micro-batch into the next snapshot under path. A batch that is run again writes the same version from the
-    one before it, so a lost driver does no harm."""
+def keep_fixtures(stream: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Upserts each micro-batch into the store's fixtures, of which it rewrites the buckets that it touches. A batch that is run again
+    is known by its number and changes nothing."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = snapshot(spark, path, number + 1)
-        if before is None:
-            before = batch.limit(0)
-        state.upsert_fixtures(before, batch).write.mode("overwrite").parquet(f"{path}/{number + 1}")
+        store.upsert("fixtures", batch, tag=f"fixtures-{number}")
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
