@@ -145,7 +145,7 @@ def test_bulk_csv(spark, tmp_path):
     (tmp_path / "E0.csv").write_bytes("﻿Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR,B365H,AvgH,B365D,AvgD,B365A,AvgA\nE0,12/08/2023,Arsenal,Chelsea,2,1,H,1.5,1.6,4,4,6,6\nE0,13/08/23,Leeds,Derby,0,0,,,2.5,3,3,3,3\nE0,bad,X,Y,1,1,D,1,1,1,1,1,1\nZZ,12/08/2023,A,B,1,0,H,1,1,1,1,1,1\nE0,14/08/2023,P,Q,1,2,A,1,1,1,1,1,1,9,9\n".encode())
     found = files.discover(spark, str(tmp_path))
     assert found.count() == 1 and files.changed(found, found).isEmpty()
-    parsed, report = files.ingest(spark, found)
+    parsed, report = files.ingest(found)
     assert [r["layout"] for r in report.collect()] == ["bulk"]
     kept = files.recorded(files.load_table(spark, str(tmp_path / "none"), files.MANIFEST), found, parsed, F.lit("2024-01-01").cast("timestamp"))
     assert [(r["name"], r["rows"]) for r in kept.collect()] == [("E0.csv", 2)] and files.changed(found, kept).isEmpty()
@@ -230,12 +230,34 @@ def test_latin_1_quotes_and_unknown_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("Div,Date,HomeTeam,AwayTeam,FTHG,FTAG\nSP1,12/08/2023,M\xe1laga,\"Sevilla, B\",2,1\nSP1,13/08/2023,A,B,1,1,extra\n".encode("latin-1"))
     (tmp_path / "b.csv").write_text("x,y\n1,2\n")
     (tmp_path / "england-premier-league-matches-2023.csv").write_text("date_GMT,status,home_team_name,away_team_name,home_team_goal_count,away_team_goal_count,odds_ft_home_team_win\nAug 12 2023 - 2:00pm,complete,Arsenal,Leeds,2,1,1.0\nAug 13 2023 - 2:00pm,suspended,Derby,Leeds,2,1,2.0\n")
-    rows, report = files.ingest(spark, files.discover(spark, str(tmp_path)), with_aggregates=True)
+    rows, report = files.ingest(files.discover(spark, str(tmp_path)), with_aggregates=True)
     assert {(r["name"], r["layout"]) for r in report.collect()} == {("a.csv", "bulk"), ("b.csv", None), ("england-premier-league-matches-2023.csv", "aggregate")}
     got = {(r["home_team"], r["away_team"], r["league"], r["odds_home"]) for r in rows.collect()}
     assert got == {("M\xe1laga", "Sevilla, B", "La Liga", None), ("Arsenal", "Leeds", "Premier League", None)}
 
 
+def test_files_of_many_headers_are_one_plan(spark, tmp_path):
+    """What orders say of matches, written as files of the bulk layout with headers and encodings of their own, comes back."""
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderkey % 20 = 0").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"), "o_totalprice").collect()
+    want = set()
+    for i in range(6):
+        extra = [f"X{j}" for j in range(i)]
+        lines = [",".join(["Div", "Date", "HomeTeam", "AwayTeam", *extra, "FTHG", "FTAG", " HS "])]
+        for r in o[i::6]:
+            h, a = int(r[2]) % 5, int(r[2] / 10) % 4
+            home = f"Málaga {r[0]}" if i % 2 else f'"A, {r[0]}"'
+            lines.append(",".join(["SP1", r[1], home, "B", *extra, str(h), str(a), str(i)]) + (",too,long" if r[0] % 100 == 0 else ""))
+            if r[0] % 100:
+                want.add((home.strip('"'), r[1], h, a, i))
+        text = "\r\n".join([*lines, "", "SP1"])
+        (tmp_path / f"f{i}.csv").write_bytes(text.encode("utf-8-sig" if i % 3 else "latin-1"))
+    rows, report = files.ingest(files.discover(spark, str(tmp_path)))
+    assert {r["layout"] for r in report.collect()} == {"bulk"} and report.count() == 6
+    got = {(r["home_team"], r["date"].strftime("%d/%m/%Y"), r["home_score"], r["away_score"], r["home_shots"]) for r in rows.collect()}
+    assert got == want and len(want) > 50
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Scan binaryFile") <= 3 * len(files.USED)
+
+
 def test_archive_pages(spark):
     page = '<a href="https://globalsportsarchive.com/en/soccer/match/2024-05-01/a-vs-b/77"><div class="gsa-d-sm-md-none gsa-d-block"> Alpha &amp; Co </div><div class="gsa-d-sm-md-none gsa-d-block">Beta</div><i class="gsa-match-rounds-v2__match-score"><div class="gsa-text-yellow"> 2 </div><div class="gsa-text-grey">1</div></i></a><a href="https://globalsportsarchive.com/en/soccer/match/2024-06-01/a-vs-c/78"><div class="gsa-d-sm-md-none gsa-d-block">Alpha</div></a><a href="https://globalsportsarchive.com/en/soccer/team/alpha/5/">x</a>'
     df = spark.createDataFrame([(page,), (page,)], "html string")

@@ -3,8 +3,12 @@ bad cell costs a value, not a row."""
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +37,10 @@ COUNTRIES = dict(DIVISIONS.values()) | {"Betway Premiership": "South Africa"}
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, name, sha1, size) of files; contents are digested where they are read."""
+    """(path, name, sha1, size, content) of files; contents are digested and parsed where they are read, and only read if they are
+    asked for."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha1("content").alias("sha1"), F.col("length").alias("size"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha1("content").alias("sha1"), F.col("length").alias("size"), "content")
 
 
 def changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -65,34 +70,48 @@ def recorded(manifest: DataFrame, parsed: DataFrame, rows: DataFrame, now: Colum
 
 
 def layout(columns: list[str]) -> str | None:
-    have = {c.strip().lstrip("\ufeff") for c in columns}
+    have = set(columns)
     return next((n for n, need in (("bulk", BULK), ("canonical", CANONICAL), ("aggregate", AGGREGATE)) if need <= have), None)
 
 
-def sniffed(files: DataFrame) -> DataFrame:
-    """files(path, name, sha1, size) with header (their first line) and encoding: UTF-8, or Latin-1 where the bytes aren't. One
-    pass over the files, in which tasks read them whole; what is kept is a line a file."""
-    spark = files.sparkSession
-    found = [r["path"] for r in files.select("path").collect()]
-    if not found:
-        return files.withColumns({"header": F.lit(None).cast("string"), "encoding": F.lit(None).cast("string")})
-    raw = spark.read.format("binaryFile").load(found)
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(utf8, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    line = F.regexp_replace(F.regexp_extract(text, r"^([^\r\n]*)", 1), "^\ufeff", "")
-    return files.join(raw.select("path", line.alias("header"), F.when(utf8, "UTF-8").otherwise("ISO-8859-1").alias("encoding")), "path")
-
-
-def read_text_csv(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """All cells as text; rows with more cells than the header are dropped, shorter ones are padded."""
-    raw = spark.read.option("header", True).option("columnPruning", False).option("encoding", encoding).option("columnNameOfCorruptRecord", "_bad")
-    names = raw.csv(paths).columns
-    clean = [c.strip().lstrip("\ufeff") for c in names]
-    fields = ", ".join(f"`{c}` string" for c in names) + ", `_bad` string"
-    rows = raw.schema(fields).option("mode", "PERMISSIVE").csv(paths)
-    # commas inside quotes part no cells
-    cells = F.size(F.split(F.regexp_replace("_bad", '"(?:[^"]|"")*"', ""), ",", -1))
-    return rows.where(F.col("_bad").isNull() | (cells <= len(names))).select(*(F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(names, clean)), F.input_file_name().alias("_file"))
+def cells(content: bytes) -> tuple[list[str], Iterator[list[str]]]:
+    """A CSV file's header and rows, all cells as text: UTF-8, with or without a mark, or Latin-1 where the bytes aren't. Rows with more
+    cells than the header are dropped, shorter ones are padded, blank ones are no rows."""
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = content.decode("latin-1").removeprefix("\xef\xbb\xbf")
+    rows = csv.reader(io.StringIO(text, newline=""))
+    header = [c.strip() for c in next(rows, [])]
+    return header, ([c.strip() for c in r] + [""] * (len(header) - len(r)) for r in rows if len(r) <= len(header) and any(r))
+
+
+def parsed(files: DataFrame, with_aggregates: bool = False) -> DataFrame:
+    """files(path, name, content) as path, name, layout and cells (a map from column to text): first a row without cells for each
+    file, then its rows if it is of a known layout. Files are decoded and told apart in the tasks, and all of them by one plan; an
+    aggregator's exports are known by their names, too, and only if they are asked for."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, name, content in zip(*(c for c in b.columns)):
+                path, name = path.as_py(), name.as_py()
+                header, rows = cells(content.as_py())
+                kind = layout(header)
+                if kind == "aggregate" and not (with_aggregates and "-matches-" in name.lower()):
+                    kind = None
+                out: list[list[tuple[str, str]] | None] = [None]
+                for r in rows if kind else ():
+                    out.append([(c, v) for c, v in dict(zip(header, r)).items() if v])
+                    if len(out) >= 10_000:
+                        yield batch(path, name, kind, out)
+                        out = []
+                yield batch(path, name, kind, out)
+
+    def batch(path: str, name: str, kind: str | None, out: list) -> pa.RecordBatch:
+        n = len(out)
+        return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(out, pa.map_(pa.string(), pa.string()))], names=["path", "name", "layout", "cells"])
+
+    return files.select("path", "name", "content").mapInArrow(run, "path string, name string, layout string, cells map<string,string>")
 
 
 def conform(df: DataFrame, schema=S.MATCH) -> DataFrame:
@@ -156,22 +175,24 @@ def aggregate_files(raw: DataFrame) -> DataFrame:
     return aggregate(rows, F.col("league"), F.col("country"))
 
 
-def ingest(spark: SparkSession, files: DataFrame, with_aggregates: bool = False) -> tuple[DataFrame, DataFrame]:
+#: Columns of each layout that are read.
+USED = {
+    "bulk": [*sorted(BULK), "FTHG", "FTAG", "FTR", *(f"{b}{k}" for b in ("B365", "Avg") for k in "HDA"), *BULK_STATS],
+    "canonical": [f.name for f in S.MATCH.fields],
+    "aggregate": [*sorted(AGGREGATE), "status", "odds_ft_home_team_win", "odds_ft_draw", "odds_ft_away_team_win"],
+}
+
+
+def ingest(files: DataFrame, with_aggregates: bool = False) -> tuple[DataFrame, DataFrame]:
     """The files of discover() as one canonical frame with _file, and a report (path, name, layout), layout null where a file isn't
-    recognised. Files are read together by layout, header and encoding; the driver holds a line a file."""
-    known = sniffed(files)
-    parts, report = [], []
-    groups: dict[tuple, list[str]] = {}
-    for r in known.select("path", "name", "header", "encoding").collect():
-        kind = layout((r["header"] or "").split(","))
-        if kind == "aggregate" and not (with_aggregates and "-matches-" in r["name"].lower()):
-            kind = None
-        report.append((r["path"], r["name"], kind))
-        if kind:
-            groups.setdefault((kind, r["header"], r["encoding"]), []).append(r["path"])
+    recognised. There are as many parts as layouts, however many files or headers there are."""
+    rows = parsed(files, with_aggregates)
     make = {"bulk": bulk, "canonical": canonical, "aggregate": aggregate_files}
-    for (kind, _, encoding), paths in sorted(groups.items()):
-        raw = read_text_csv(spark, sorted(paths), encoding)
-        parts.append(make[kind](raw))
-    told = spark.createDataFrame(report, "path string, name string, layout string")
-    return (reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], T.StructType([*S.MATCH.fields, T.StructField("_file", T.StringType())]))), told
+    parts = []
+    for kind, work in make.items():
+        own = rows.where((F.col("layout") == kind) & F.col("cells").isNotNull())
+        raw = own.select(*(F.col("cells")[c].alias(c) for c in USED[kind]), F.col("path").alias("_file"))
+        if kind == "aggregate":  # a file without a column of states holds finished matches only
+            raw = raw.withColumn("status", F.coalesce("status", F.lit("complete")))
+        parts.append(work(raw))
+    return reduce(DataFrame.unionByName, parts), rows.where("cells is null").select("path", "name", "layout")
