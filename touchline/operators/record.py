@@ -94,3 +94,21 @@ def confidence_bins(rows: DataFrame) -> DataFrame:
     one = rows.where("hit is not null").groupBy(F.lit("top").alias("kind"), bins("confidence", (0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 1.0)).alias("upto")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("rate"))
     two = rows.where("hit is not null").groupBy(F.lit("draw").alias("kind"), bins("draw", (0.2, 0.25, 0.3, 0.35, 1.0)).alias("upto")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("outcome") == 2).cast("int")), 6).alias("rate"))
     return one.unionByName(two)
+
+
+def model_report(rows: DataFrame) -> DataFrame:
+    """scored() rows with a call, by league and, under a null league, all together, in one pass: accuracy, log-loss and mean Brier score of
+    the model, accuracy of the bookmakers where they have a say, and of the two baselines: always the commonest outcome of all rows, and
+    always its shares of outcomes. Of equally common outcomes the first counts."""
+    known = rows.where("hit is not null")
+    shares = known.agg(*(F.avg((F.col("outcome") == k).cast("int")).alias(f"_s{k}") for k in (1, 2, 3)))
+    three = (("home_win", 1), ("draw", 2), ("away_win", 3))
+    brier = sum(((F.col(c) - (F.col("outcome") == k).cast("int")) ** 2 for c, k in three), F.lit(0.0)) / 3
+    prior = F.element_at(F.array("_s1", "_s2", "_s3"), F.col("outcome"))
+    commonest = X.likeliest(F.col("_s1"), F.col("_s2"), F.col("_s3"))
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    both = known.join(F.broadcast(shares))  # one row
+    return both.groupingSets([["league"], []], "league").agg(
+        F.count("*").alias("n"), mean(F.col("hit").cast("int"), "accuracy"), mean(-F.log(F.greatest("p_actual", F.lit(1e-15))), "log_loss"), mean(brier, "brier"),
+        F.count("market_hit").alias("with_market"), mean(F.col("market_hit").cast("int"), "market_accuracy"), mean((F.col("outcome") == commonest).cast("int"), "prior_accuracy"), mean(-F.log(prior), "prior_log_loss"),
+    )

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from touchline.functions import names as N
 from touchline.functions import scalar as X
-from touchline.operators import badges, boosting, features, fixtures, model, state, windows
+from touchline.operators import badges, boosting, features, fixtures, model, quality, record, state, windows
 from touchline.plans import testdata as D
 from touchline.plans.queries import NOW, query
+from touchline.plans.session import scratch
+from touchline.sources import files
 
 
 def _now() -> Column:
@@ -291,3 +293,27 @@ def model_batch(spark, d):
     done = m.where("status_group = 'finished'")
     fitted, _ = model.train(done, settings=boosting.Settings(rate=0.1, rounds=5, patience=2), seeds=2)
     return model.batch(fitted, m.where("status_group = 'scheduled'"), done)
+
+
+@query("""SELECT league, season, count(*) AS n, count(DISTINCT home) AS teams, round(avg((outcome = 1)::INT), 6) AS home_share, round(avg((outcome = 2)::INT), 6) AS draw_share, round(avg((outcome = 3)::INT), 6) AS away_share,
+ round(avg((odds_home IS NOT NULL)::INT), 6) AS odds_share, round(avg((home_shots IS NOT NULL)::INT), 6) AS stats_share FROM m GROUP BY GROUPING SETS ((league, season), (league), (season), ())""")
+def dataset_report(spark, d):
+    return quality.dataset_report(D.matches(spark, d))
+
+
+@query(""", k AS (SELECT * FROM s WHERE hit IS NOT NULL), z AS (SELECT avg((outcome = 1)::INT) AS s1, avg((outcome = 2)::INT) AS s2, avg((outcome = 3)::INT) AS s3 FROM k)
+SELECT league, count(*) AS n, round(avg(hit::INT), 6) AS accuracy, round(avg(-ln(greatest(p_actual, 1e-15))), 6) AS log_loss, round(avg(((home_win - (outcome = 1)::INT) ** 2 + (draw - (outcome = 2)::INT) ** 2 + (away_win - (outcome = 3)::INT) ** 2) / 3), 6) AS brier,
+ count(market_hit) AS with_market, round(avg(market_hit::INT), 6) AS market_accuracy, round(avg((outcome = CASE WHEN s1 >= s2 AND s1 >= s3 THEN 1 WHEN s2 >= s3 THEN 2 ELSE 3 END)::INT), 6) AS prior_accuracy,
+ round(avg(-ln(CASE outcome WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END)), 6) AS prior_log_loss FROM k, z GROUP BY GROUPING SETS ((league), ())""")
+def model_report(spark, d):
+    return record.model_report(record.scored(D.matches(spark, d), D.predictions(spark, d)))
+
+
+@query("SELECT date, season, league, home AS home_team, away AS away_team, home_score, away_score, outcome FROM m")
+def ingest_files(spark, d):
+    """Matches written as CSV files of the canonical layout and read back by the file source."""
+    m = D.matches(spark, d)
+    folder = scratch(spark, "csv")
+    m.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "league", F.col("home").alias("home_team"), F.col("away").alias("away_team"), "home_score", "away_score").write.option("header", True).csv(folder)
+    rows, _ = files.ingest(files.discover(spark, folder))
+    return rows.select("date", "season", "league", "home_team", "away_team", "home_score", "away_score", "outcome")
