@@ -101,11 +101,14 @@ def blend(model: list[Column], market: list[Column], weight: float = 0.45) -> li
     return [F.try_divide(x, total) for x in mixed]
 
 
-def perm_advice(home: Column, draw: Column, away: Column) -> Column:
+def perm_advice(home: Column, draw: Column, away: Column, manual: Column | None = None) -> Column:
     """(pick, perm, covered): the pick alone, or two outcomes where the draw is likely or nothing is; a drawn pick is
-    joined by the likelier side."""
+    joined by the likelier side. manual: a choice by hand of one or two outcomes, which goes before the rule unless it is null; the
+    pick stays."""
     pick = likeliest(home, draw, away)
     permed = (draw >= S.PERM_DRAW) | (F.greatest(home, draw, away) < S.PERM_TOP)
+    if manual is not None:
+        permed = F.coalesce(manual, permed)
     side = F.when(home >= away, 1).otherwise(3)
     other = F.when(pick == 2, side).otherwise(2)
     covered = of_outcome(pick, home, draw, away) + F.when(permed, of_outcome(other, home, draw, away)).otherwise(0.0)

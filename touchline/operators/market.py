@@ -45,8 +45,10 @@ def bet_tiers(predictions: DataFrame) -> DataFrame:
 
 
 def slip_maths(advised: DataFrame, unit: float = 1.0) -> DataFrame:
-    """advised(date, perm, covered): lines are the product of selections, the chance that of the covered probabilities."""
-    rows = advised.groupBy("date").agg(F.count("*").alias("picks"), F.count_if("perm").alias("permed"), F.sum(F.ln("covered")).alias("_log"))
+    """advised(date, perm, covered, and hit where it is known): lines are the product of selections, the chance that of the covered
+    probabilities. A pick that is settled takes no part any more."""
+    open_ = advised.where("hit is null") if "hit" in advised.columns else advised
+    rows = open_.groupBy("date").agg(F.count("*").alias("picks"), F.count_if("perm").alias("permed"), F.sum(F.ln("covered")).alias("_log"))
     return rows.select("date", "picks", "permed", F.pow(F.lit(2.0), "permed").alias("lines"), F.round(F.exp("_log"), 6).alias("chance"), (F.pow(F.lit(2.0), "permed") * unit).alias("cost"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import names as N
 from touchline.functions import scalar as X
-from touchline.operators import badges, boosting, features, fixtures, model, quality, record, state, windows
+from touchline.operators import badges, boosting, features, fixtures, market, model, quality, record, state, windows
 from touchline.plans import testdata as D
 from touchline.plans.queries import NOW, query
 from touchline.plans.session import scratch
@@ -317,3 +317,14 @@ def ingest_files(spark, d):
     m.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "league", F.col("home").alias("home_team"), F.col("away").alias("away_team"), "home_score", "away_score").write.option("header", True).csv(folder)
     rows, _ = files.ingest(files.discover(spark, folder))
     return rows.select("date", "season", "league", "home_team", "away_team", "home_score", "away_score", "outcome")
+
+
+@query(""", z AS (SELECT seq, date, status_group, CASE WHEN seq % 6 = 0 THEN TRUE WHEN seq % 6 = 1 THEN FALSE END AS manual, home_win AS h, draw AS d, away_win AS a, CASE WHEN home_win >= draw AND home_win >= away_win THEN 1 WHEN draw >= away_win THEN 2 ELSE 3 END AS pick FROM m JOIN p USING (seq)),
+ y AS (SELECT *, coalesce(manual, d >= 0.3 OR greatest(h, d, a) < 0.4) AS perm, CASE WHEN pick = 2 THEN CASE WHEN h >= a THEN h ELSE a END ELSE d END AS other, CASE pick WHEN 1 THEN h WHEN 2 THEN d ELSE a END AS own FROM z WHERE status_group <> 'finished')
+SELECT date, count(*) AS picks, count(*) FILTER (perm) AS permed, pow(2, count(*) FILTER (perm)) AS lines, round(exp(sum(ln(own + CASE WHEN perm THEN other ELSE 0 END))), 6) AS chance, pow(2, count(*) FILTER (perm)) AS cost FROM y GROUP BY date""")
+def slip_plan(spark, d):
+    """Slips with choices by hand, of which settled picks take no part."""
+    seq = F.col("seq")
+    manual = F.when(seq % 6 == 0, True).when(seq % 6 == 1, False)
+    rows = D.matches(spark, d).join(D.predictions(spark, d), "seq").withColumn("_a", X.perm_advice(F.col("home_win"), F.col("draw"), F.col("away_win"), manual))
+    return market.slip_maths(rows.select("date", "_a.perm", "_a.covered", F.when(F.col("status_group") == "finished", F.col("_a.pick") == F.col("outcome")).alias("hit")))

@@ -63,9 +63,11 @@ def openfootball(payloads: DataFrame, league: str, country: str, column: str = "
     return conform(rows.where("outcome is not null and date is not null"))
 
 
-def to_matches(fixtures: DataFrame) -> DataFrame:
-    """Finished fixtures as match rows."""
+def to_matches(fixtures: DataFrame, since: str | None = None) -> DataFrame:
+    """Finished fixtures as match rows; since: the first day of kickoffs, a filter that reaches the scan."""
     done = fixtures.where(X.status_group(F.col("status")) == "finished")
+    if since is not None:
+        done = done.where(F.col("kickoff_utc") >= F.lit(since).cast("timestamp"))
     rows = done.withColumns({"date": F.to_date("kickoff_utc"), "outcome": X.outcome(F.col("home_score"), F.col("away_score"))})
     return conform(rows.where("outcome is not null"))
 

@@ -22,6 +22,7 @@ NODE = "struct<node:int,last:int,tag:string,attrs:map<string,string>,text:string
 #: Elements that hold nothing, and those that an opening tag of the same kind ends.
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ENDED = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+ENDED |= {tag: {"p"} for tag in ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul")}
 
 
 class Tree(HTMLParser):
