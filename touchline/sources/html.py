@@ -116,7 +116,11 @@ def inside(tree: Column, x: Column) -> Column:
 
 def text_of(tree: Column, x: Column) -> Column:
     """All text inside a node, white space made even."""
-    return even(F.array_join(F.transform(F.filter(inside(tree, x), lambda y: y["tag"] == "#text"), lambda y: y["text"]), ""))
+    return even(_raw_text(tree, x))
+
+
+def _raw_text(tree: Column, x: Column) -> Column:
+    return F.array_join(F.transform(F.filter(inside(tree, x), lambda y: y["tag"] == "#text"), lambda y: y["text"]), "")
 
 
 def has_class(x: Column, *names: str) -> Column:
@@ -135,9 +139,15 @@ def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
     return trees(pages, html, key).select(key, F.explode(found).alias("_l")).select(key, "_l.href", "_l.label")
 
 
-def titles(pages: DataFrame, key: str, html: str) -> DataFrame:
+def titles(pages: DataFrame, key: str, html: str, references: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, title), null where a page has none. references: names of the only character references that are decoded, each ended by
+    its semicolon; other ampersands and white space beyond ASCII stay as they are written. Without it all are decoded as HTML does."""
     first = F.get(_elements(F.col("tree"), "title"), F.lit(0))
-    found = text_of(F.col("tree"), first)
+    if references is None:
+        found = text_of(F.col("tree"), first)
+    else:
+        pages = pages.select(key, F.regexp_replace(html, f"&(?!(?:{'|'.join(references)});)", "&amp;").alias(html))
+        found = F.trim(F.regexp_replace(_raw_text(F.col("tree"), first), r"[ \t\n\f\r]+", " "))
     return trees(pages, html, key).select(key, F.when(first.isNotNull() & (found != ""), found).alias("title"))
 
 
