@@ -1,7 +1,9 @@
 """What reports on earlier rounds found."""
 
+import tracemalloc
+
 from touchline.plans import queries as P
-from touchline.sources import html
+from touchline.sources import files, html
 
 
 def test_titles_decode_what_the_sql_decodes(spark, tmp_path):
@@ -11,3 +13,16 @@ def test_titles_decode_what_the_sql_decodes(spark, tmp_path):
     assert got == {1: "A && B&amp", 2: "x\u00a0&eacute; &lt; &copy y<", 3: None, 4: None, 5: None}
     whole = {r["page_id"]: r["title"] for r in html.titles(spark.createDataFrame(pages, "page_id long, html string"), "page_id", "html").collect()}
     assert whole[1] == "A && B&" and whole[2] == "x \u00e9 &lt; \u00a9 y<"
+
+
+def test_a_file_is_decoded_as_its_rows_are_taken():
+    body = "".join(f"2020-01-{1 + i % 28:02d},Lïga,home {i},away,1,2\r\n" for i in range(200_000))
+    for code, mark in (("utf-8", b"\xef\xbb\xbf"), ("utf-8", b""), ("latin-1", b""), ("latin-1", b"\xef\xbb\xbf")):
+        content = mark + ("date,league,home_team,away_team,home_score,away_score\r\n" + body).encode(code)
+        tracemalloc.start()
+        header, rows = files.cells(content)
+        n = sum(r[1] == "Lïga" for r in rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert header[0] == "date" and n == 200_000 and peak < len(content) / 2, (code, peak, len(content))
+    assert [list(r) for r in files.cells(b'a,b\n"x\r\ny",1\n\n1,2,3\n4\n')[1]] == [["x\r\ny", "1"], ["4", ""]] and files.cells(b"")[0] == []

@@ -3,6 +3,7 @@ bad cell costs a value, not a row."""
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 from collections.abc import Iterable, Iterator
@@ -74,14 +75,19 @@ def layout(columns: list[str]) -> str | None:
     return next((n for n, need in (("bulk", BULK), ("canonical", CANONICAL), ("aggregate", AGGREGATE)) if need <= have), None)
 
 
-def cells(content: bytes) -> tuple[list[str], Iterator[list[str]]]:
+def cells(content: bytes | pa.Buffer) -> tuple[list[str], Iterator[list[str]]]:
     """A CSV file's header and rows, all cells as text: UTF-8, with or without a mark, or Latin-1 where the bytes aren't. Rows with more
-    cells than the header are dropped, shorter ones are padded, blank ones are no rows."""
+    cells than the header are dropped, shorter ones are padded, blank ones are no rows. The content is decoded as rows are taken."""
+    source, decoder, code = pa.BufferReader(content), codecs.getincrementaldecoder("utf-8")(), "utf-8"
     try:
-        text = content.decode("utf-8-sig")
+        while part := source.read(1 << 16):
+            decoder.decode(part)
+        decoder.decode(b"", final=True)
     except UnicodeDecodeError:
-        text = content.decode("latin-1").removeprefix("\xef\xbb\xbf")
-    rows = csv.reader(io.StringIO(text, newline=""))
+        code = "latin-1"
+    source.seek(0)
+    source.seek(3 if source.read(3) == codecs.BOM_UTF8 else 0)
+    rows = csv.reader(io.TextIOWrapper(source, code, newline=""))
     header = [c.strip() for c in next(rows, [])]
     return header, ([c.strip() for c in r] + [""] * (len(header) - len(r)) for r in rows if len(r) <= len(header) and any(r))
 
@@ -95,7 +101,7 @@ def parsed(files: DataFrame, with_aggregates: bool = False) -> DataFrame:
         for b in batches:
             for path, name, content in zip(*(c for c in b.columns)):
                 path, name = path.as_py(), name.as_py()
-                header, rows = cells(content.as_py())
+                header, rows = cells(content.as_buffer())
                 kind = layout(header)
                 if kind == "aggregate" and not (with_aggregates and "-matches-" in name.lower()):
                     kind = None
