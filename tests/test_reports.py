@@ -1,12 +1,13 @@
 """What reports on earlier rounds found."""
 
 import random
+import statistics
 import tracemalloc
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from touchline.operators import features, windows
+from touchline.operators import features, quality, windows
 from touchline.plans import queries as P
 from touchline.sources import files, html
 
@@ -71,3 +72,12 @@ def test_features_read_their_matches_once_and_meet_by_few_joins(spark):
             assert got[seq][f"home_gf_{n}"] == (sum(known) / len(known) if known else None)
         past.setdefault(home, []).append(x)
         past.setdefault(away, []).append(y)
+
+
+def test_medians_are_exact_when_sketches_see_few_values(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SKETCHED", 300)
+    rng = random.Random(2)
+    rows = [(rng.gauss(0, 1), float(rng.randrange(3)), rng.expovariate(1) if i % 500 == 0 else None) for i in range(6000)]
+    got = quality.medians(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], 20).first()
+    for i, c in enumerate("abc"):
+        assert abs(got[c] - statistics.median(r[i] for r in rows if r[i] is not None)) <= 1e-4
