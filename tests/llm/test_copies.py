@@ -100,6 +100,23 @@ def test_lines_equal_brute_force(spark, nothing):
     assert lines.dedup(nothing).isEmpty()
 
 
+@pytest.mark.parametrize("piece", [50_000, 20])
+def test_many_lines_are_hashed_at_once_as_each_alone(monkeypatch, piece):
+    monkeypatch.setattr(lines, "PIECE", piece)
+    rng = np.random.default_rng(21)
+    some = ["".join(rng.choice(list("abcdeF \t\x0b\x1c\x85\xa0\u3000É\u03a3ß日\U0001f642İ"), n)) for n in rng.integers(0, 60, 300)] + ["", "a", "A\u03a3", "  ab  cdefgh "]
+    for every in (some, [x.encode("ascii", "ignore").decode() for x in some], ["a"], [""], []):
+        codes, begin = lines.evened(every)
+        assert ["".join(map(chr, codes[a:b].tolist())) for a, b in zip(begin, begin[1:])] == [even(x) for x in every]
+        full = [x for x in every if even(x)]
+        if full:
+            together = lines.bands(*lines.evened(full))
+            assert (together == np.concatenate([lines.bands(*lines.evened([x])) for x in full])).all()
+            plain = [{even(x)[k : k + 7] for k in range(max(1, len(even(x)) - 6))} for x in full]
+            sets = lines.line_sets(pa.array([*full, *full[:3]]))
+            assert [s.size for s in sets[: len(full)]] == list(map(len, plain)) and all((a == b).all() for a, b in zip(sets, sets[len(full) :]))
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_lines_linked_only_through_a_hub(spark, monkeypatch, block):
     monkeypatch.setattr(lines, "BLOCK", block)  # a small block takes cells through the path of large ones

@@ -23,7 +23,7 @@ BLOCK = 256
 ITEMS = 1 << 22
 #: Characters of blocks that are verified together, if a block isn't longer; counts of points held for them; pairs listed at a
 #: time.
-CHARS, CELLS, PAIRS = 1 << 19, 1 << 22, 1 << 18
+CHARS, CELLS, PAIRS = 1 << 18, 1 << 20, 1 << 18
 
 Sets = Callable[[pa.Array], Iterable[np.ndarray]]
 
@@ -84,7 +84,7 @@ def part_links(sets: list[np.ndarray], cell: np.ndarray, part: np.ndarray, side:
             x = up
         return x
 
-    out, first, step = [], 0, max(1, CELLS // points.shape[1] // 4)
+    out, first, step = [], 0, max(1, CELLS // points.shape[1] // 16)
     ends = np.cumsum(count)
     while first < size.size:
         last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, side="right")))
@@ -99,7 +99,9 @@ def part_links(sets: list[np.ndarray], cell: np.ndarray, part: np.ndarray, side:
             for i, j in zip(i[near].tolist(), j[near].tolist()):
                 one, other = root(int(part[i])), root(int(part[j]))
                 if one != other:
-                    shared = np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True).size
+                    both = np.concatenate([sets[order[i]], sets[order[j]]])
+                    both.sort()
+                    shared = np.count_nonzero(both[1:] == both[:-1])
                     if shared and shared * (num + den) >= num * (size[i] + size[j]):
                         out.append((min(one, other), max(one, other)))
                         parent[out[-1][1]] = out[-1][0]
@@ -115,11 +117,14 @@ def verified(rows: DataFrame, texts: DataFrame, sets: Sets, num: int, den: int)
 
         def out() -> pa.RecordBatch:
             cells, part, side, text = held
-            links = part_links(list(sets(pa.array(text, pa.large_string()))), *(np.array(x, np.int64) for x in (cells, part, side)), num, den) if text else []
+            # the same text is often in several cells
+            kinds = dict.fromkeys(text)
+            own = dict(zip(kinds, sets(pa.array(list(kinds), pa.large_string()))))
+            links = part_links([own[t] for t in text], *(np.array(x, np.int64) for x in (cells, part, side)), num, den) if text else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            for key, low, high, s, p, text in zip(*(c.to_pylist() for c in b.columns)):
+            for key, low, high, s, p, text in zip(*(c.to_numpy().tolist() for c in b.columns[:5]), b.column(5).to_pylist()):
                 if (key, low, high) != now:
                     now, cell = (key, low, high), cell + 1
                     if chars >= CHARS:
