@@ -180,6 +180,18 @@ def test_collocations_equal_brute_force(spark, docs, corpus, nothing):
     assert collocations.collocations(nothing).isEmpty()
 
 
+def test_phrases_are_spans_of_spaced_words():
+    texts = ["Ab  \u00c9t\t c,d", "", " \U0001f642 x"]
+    begin = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    shard = collocations.Shard(np.frombuffer("".join(texts).encode(), np.uint8), begin, ["en"] * 3)
+    data, starts, stops = shard.spaced()
+    words = ["ab", "\u00c9t", "c", "d", "\U0001f642", "x"]
+    for k in (1, 2, 3):
+        got = collocations.spans(data, starts[: len(words) - k + 1], stops[k - 1 :]).to_pylist()
+        assert got == [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+    assert collocations.spans(data, starts[:0], stops[:0]).to_pylist() == []
+
+
 def test_suffixes_are_sorted_by_their_first_words():
     rng = np.random.default_rng(3)
     ids, joined = rng.integers(0, 3, 200), rng.random(199) < 0.9

@@ -58,6 +58,17 @@ class Shard:
         lang = np.array([kinds[x] for x in langs], np.uint64)
         self.hash = mix(span_hashes(self.data, self.starts, self.stops) * _STEP + lang[self.text]) if self.starts.size else np.zeros(0, np.uint64)
 
+    def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all words with one space between them, and where each word starts and stops there."""
+        size = self.stops - self.starts
+        stops = np.cumsum(size + 1) - 1
+        out = np.full(int(stops[-1]) if size.size else 0, 32, np.uint8)
+        starts = stops - size
+        at = np.repeat(np.arange(size.size), size)
+        within = np.arange(at.size) - np.repeat(np.cumsum(size) - size, size)
+        out[starts[at] + within] = self.data[self.starts[at] + within]
+        return out, starts, stops
+
     def pair_keys(self) -> np.ndarray:
         """The key of each word's pair with the next one; 0 where its piece ends."""
         key = np.zeros(self.hash.size, np.uint64)
@@ -160,24 +171,39 @@ def _counted(words: int):
                 langs = _langs(b, i, j, 2)
                 shard = Shard(data, begin, langs)
                 _, ids = np.unique(shard.hash, return_inverse=True)
-                raw = shard.data.tobytes()
-                word = lambda p: raw[shard.starts[p] : shard.stops[p]].decode()  # noqa: E731, B023
-                out: list[tuple] = [(x, 0, "", int(n)) for x, n in zip(*_by_lang(langs, shard.text))]
+                kinds, total = _by_lang(langs, shard.text)
+                yield _counts(kinds, np.arange(len(kinds)), 0, pa.array([""] * len(kinds), pa.string()), np.array(total, np.int64))
+                code = np.array([kinds.index(x) for x in langs], np.int64)
+                spaced, starts, stops = shard.spaced()
                 alone = np.isin(shard.word_keys(), frequent)
                 joined = shard.joined & np.isin(shard.pair_keys()[:-1], frequent) if shard.hash.size else shard.joined
                 # words that aren't frequent stand in no phrase; those with no frequent neighbour count alone
                 _, first, n = np.unique(ids[alone], return_index=True, return_counts=True)
-                out += [(langs[shard.text[p]], 1, word(p), int(c)) for p, c in zip(np.flatnonzero(alone)[first].tolist(), n.tolist())]
+                p = np.flatnonzero(alone)[first]
+                yield _counts(kinds, code[shard.text[p]], 1, spans(spaced, starts[p], stops[p]), n)
                 some = np.append(joined, False) | np.append(False, joined) if shard.hash.size else np.zeros(0, bool)
                 at = np.flatnonzero(some)
                 for k, where, n in phrases(ids[at], joined[at[:-1]] if at.size else joined[:0], words):
                     if k > 1:
-                        out += [(langs[shard.text[p]], k, " ".join(word(p + x) for x in range(k)), int(c)) for p, c in zip(at[where].tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out], pa.int64())], names=["lang", "words", "phrase", "f"])
+                        p = at[where]
+                        yield _counts(kinds, code[shard.text[p]], k, spans(spaced, starts[p], stops[p + k - 1]), n)
 
     return work
 
 
+def spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """Spans of UTF-8 bytes as strings."""
+    size = stops - starts
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    values = data[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])]
+    return pa.LargeStringArray.from_buffers(size.size, pa.py_buffer(ends), pa.py_buffer(values)).cast(pa.string())
+
+
+def _counts(kinds: list[str], code: np.ndarray, words: int, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    lang = pa.array(kinds, pa.string()).take(pa.array(code, pa.int64()))
+    return pa.RecordBatch.from_arrays([lang, pa.array(np.full(code.size, words, np.int32)), phrase, pa.array(f.astype(np.int64))], names=["lang", "words", "phrase", "f"])
+
+
 def _by_lang(langs: list[str], text: np.ndarray) -> tuple[list[str], list[int]]:
     """The words of each language."""
     kinds = sorted(set(langs))
