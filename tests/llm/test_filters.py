@@ -111,6 +111,15 @@ def test_toxicity_learns_stems_and_folds(spark, docs, nothing):
     assert toxicity.clean(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, label int")).columns == docs.columns
 
 
+def test_only_texts_go_through_python(spark, capsys):
+    """Other columns may be of kinds that Arrow has not, and don't fill the batches that Python gets."""
+    df = _labelled(spark).withColumn("doc", F.col("doc_id")).withColumn("apart", F.make_interval(F.lit(1)))
+    kept = toxicity.clean(df, df.select("doc_id", F.col("toxic").alias("label")))
+    assert kept.columns == df.columns and {r["toxic"] for r in kept.select("toxic").collect()} == {0} and kept.count() == 300
+    kept.explain()
+    assert capsys.readouterr().out.count("EvalPython [run(text#") == 1
+
+
 def test_hits_equal_brute_force():
     rng = np.random.default_rng(9)
     words = ["bad", "badly", "worse", "worst", "box", "fine", "badge"]

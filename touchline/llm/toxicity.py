@@ -20,14 +20,14 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -193,37 +193,44 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(b[0]), max(0.0, float(b[1]))
 
 
-def densities(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
-    """docs(keep..., text) as keep..., hits, density."""
-    held = docs.sparkSession.sparkContext.broadcast(lex)
+def found_in(spark: SparkSession, lex: Lexicon) -> Callable[..., Column]:
+    """A function of a text: its hits and density. Only texts go through Python, whatever else a row holds."""
+    held = spark.sparkContext.broadcast(lex)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         a = held.value.automaton()
-        for b in batches:
-            rows = []
-            for text in b.column(len(keep)):
+        for texts in batches:
+            n, d = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for i, text in enumerate(texts):
                 folded = fold(text.as_py())
-                w, n = hits(folded, a)
-                rows.append((n, density(w, folded.count(" ") - 1)))
-            cols = list(zip(*rows)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64())], names=[*keep, "hits", "density"])
+                w, n[i] = hits(folded, a)
+                d[i] = density(w, folded.count(" ") - 1)
+            yield pa.StructArray.from_arrays([pa.array(n), pa.array(d)], names=["hits", "density"])
+
+    # marked so that each text is looked through once, where several expressions use the result
+    return F.arrow_udf(run, "hits long, density double").asNondeterministic()
+
+
+def densities(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
+    """docs(keep..., text) as keep..., hits, density."""
+    return docs.select(*keep, found_in(docs.sparkSession, lex)("text").alias("_found")).select(*keep, "_found.*")
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, hits long, density double")
+
+def chance(lex: Lexicon, found: Column) -> Column:
+    """The score of a density."""
+    a, b = lex.curve
+    return 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * found)))
 
 
 def score(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
     """docs(keep..., text) as keep..., hits, score."""
-    a, b = lex.curve
-    z = F.lit(a) + F.lit(b) * F.col("density")
-    return densities(docs, lex, keep).select(*keep, "hits", (1 / (1 + F.exp(-z))).alias("score"))
+    return densities(docs, lex, keep).select(*keep, "hits", chance(lex, F.col("density")).alias("score"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 20_000) -> DataFrame:
     """The documents that score below threshold, with all their columns. labels(doc_id, label)."""
     lex = learn(docs, labels, max_rows)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
-    return score(whole, lex, ["_row"]).where(F.col("score") < threshold).select("_row.*")
+    return docs.where(chance(lex, found_in(docs.sparkSession, lex)("text")["density"]) < threshold)
 
 
 def training_labels(labels: DataFrame, column: str, folds: int, held_out: int) -> DataFrame:
