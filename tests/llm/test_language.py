@@ -1,9 +1,11 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from touchline.llm import blockwise, collocations, contexts, spelling
@@ -192,6 +194,27 @@ def test_phrases_are_spans_of_spaced_words():
     assert collocations.spans(data, starts[:0], stops[:0]).to_pylist() == []
 
 
+def test_windows_do_not_go_through_all_frequent_keys(monkeypatch):
+    rng = np.random.default_rng(4)
+    some = np.unique(rng.integers(1, 2**44, 1_000_000).astype(np.uint64))
+    keys = np.concatenate([rng.choice(some, 50), rng.integers(0, 2**45, 50).astype(np.uint64), some[[0, -1]], np.zeros(1, np.uint64)])
+    for few in (some, some[:1], some[:0]):
+        assert np.array_equal(collocations.among(keys, few), np.isin(keys, few))
+    monkeypatch.setattr(blockwise, "WINDOW", 600)
+    texts = pa.RecordBatch.from_arrays([pa.nulls(100), pa.array(["one two one two " * 20] * 100), pa.array(["en"] * 100)], names=["_", "text", "lang"])
+    own = collocations.Shard(np.frombuffer(b"one two one", np.uint8), np.array([0, 11]), ["en"])
+    own = np.concatenate([own.word_keys(), own.pair_keys()[:-1]])
+
+    def seconds(frequent):
+        told, began, rows = {0: blockwise.pack(np.unique(frequent), True)}, time.process_time(), 0
+        for b in collocations._counted(4)(told, iter([texts])):
+            rows += b.num_rows
+        return time.process_time() - began, rows
+
+    (few, n), (many, m) = seconds(own), seconds(np.concatenate([own, some]))
+    assert n == m == 100 * (1 + 2 + 2 + 2 + 2) and many - few < 5
+
+
 def test_suffixes_are_sorted_by_their_first_words():
     rng = np.random.default_rng(3)
     ids, joined = rng.integers(0, 3, 200), rng.random(199) < 0.9

@@ -80,6 +80,13 @@ class Shard:
         return short(mix(self.hash + _STEP))
 
 
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among sorted different ones. Those are searched, never gone through, however many they are."""
+    if not some.size:
+        return np.zeros(keys.size, bool)
+    return some[np.minimum(np.searchsorted(some, keys), some.size - 1)] == keys
+
+
 def short(h: np.ndarray) -> np.ndarray:
     """KEY bits of a hash, never 0."""
     return np.maximum(h >> np.uint64(64 - KEY), np.uint64(1))
@@ -170,13 +177,14 @@ def _counted(words: int):
             for i, j, data, begin in blockwise.windows(b, 1):
                 langs = _langs(b, i, j, 2)
                 shard = Shard(data, begin, langs)
-                _, ids = np.unique(shard.hash, return_inverse=True)
+                _, one, ids = np.unique(shard.hash, return_index=True, return_inverse=True)
                 kinds, total = _by_lang(langs, shard.text)
                 yield _counts(kinds, np.arange(len(kinds)), 0, pa.array([""] * len(kinds), pa.string()), np.array(total, np.int64))
                 code = np.array([kinds.index(x) for x in langs], np.int64)
                 spaced, starts, stops = shard.spaced()
-                alone = np.isin(shard.word_keys(), frequent)
-                joined = shard.joined & np.isin(shard.pair_keys()[:-1], frequent) if shard.hash.size else shard.joined
+                alone = among(shard.word_keys()[one], frequent)[ids]
+                joined = shard.joined.copy()
+                joined[joined] = among(shard.pair_keys()[:-1][joined], frequent)
                 # words that aren't frequent stand in no phrase; those with no frequent neighbour count alone
                 _, first, n = np.unique(ids[alone], return_index=True, return_counts=True)
                 p = np.flatnonzero(alone)[first]
