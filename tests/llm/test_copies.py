@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from touchline.llm import archive, bitslice, blocks, jaccard, lines
+from touchline.llm import archive, bitslice, blocks, common, jaccard, lines
 from touchline.llm.common import components, scratch_path
 from touchline.llm.lines import even
 
@@ -207,3 +207,44 @@ def test_selection_keeps_ties():
     live = np.array([0b111111], np.uint64)
     assert bitslice.select_top(maps, live, 2).tolist() == [1, 2, 4]
     assert bitslice.select_top(maps, live, 4).tolist() == [0, 1, 2, 4]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_earlier_texts_move_once(spark, tmp_path, monkeypatch):
+    """What the join reads, again and again, are tables: no text is dealt anew for each of its passes."""
+    spark.createDataFrame([(i, f"a{i} b c d e f g") for i in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([(i, f"a{i} b c d e f g" + " more" * (i == 2)) for i in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "also"))
+    seen, plain = [], jaccard.join
+    monkeypatch.setattr(jaccard, "join", lambda texts, *a: seen.append((_plan(texts), texts.count())) or plain(texts, *a))
+    out = jaccard.thin_out(spark.read.parquet(str(tmp_path / "docs")), also=spark.read.parquet(str(tmp_path / "also")))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(9))
+    assert len(seen) == 1 and "Exchange" not in seen[0][0] and seen[0][1] == 10
+
+
+def test_plans_of_rounds_and_meetings_stay_small(spark, tmp_path, monkeypatch):
+    """The driver keeps the plans of many rounds; each reads its rows a few times only, and no round follows the last one needed."""
+    plans, plain = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, tag: plans.append(_plan(df)) or plain(df, tag))
+    rng = np.random.default_rng(3)
+    edges = rng.integers(0, 900, (500, 2)).tolist()
+    root = _roots(900, edges)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {x: root[x] for a, b in edges for x in (a, b) if a != b}
+    assert max(p.count("FileScan") for p in plans) <= 4
+    plans.clear()
+    stars = [(10 * i + k, 10 * i) for i in range(20) for k in range(1, 5)]
+    assert components(spark.createDataFrame(stars, "a long, b long"), "t").count() == 100 and len(plans) == 1
+
+    rows = [(k, i, p, 1) for k, n, parts in ((1, 9, 3), (2, 40, 4), (3, 8, 1)) for i in range(n) for p in [i % parts if i % 5 else 0]]
+    spark.createDataFrame(rows, "key long, id long, part long, size long").write.parquet(str(tmp_path / "rows"))
+    met = blocks.meetings(spark.read.parquet(str(tmp_path / "rows")), 10)
+    assert _plan(met).count("FileScan") <= 2
+    blocks_of = {}
+    for r in met.collect():
+        blocks_of.setdefault((r["key"], r["low"], r["high"]), []).append(r)
+    pairs = {(k, *sorted((x["id"], y["id"]))) for (k, _, _), held in blocks_of.items() for x in held for y in held if x["part"] != y["part"] and (x["side"] == 2 or x["side"] != y["side"])}
+    assert pairs == {(k, i, j) for k, i, p, _ in rows for h, j, q, _ in rows if k == h and i < j and p != q}
+    assert {len(h) for (k, _, _), h in blocks_of.items() if k == 1} == {9} and sum(r["key"] == 2 for h in blocks_of.values() for r in h) > 40

@@ -44,13 +44,14 @@ def meetings(rows: DataFrame, block: int, *keep: str) -> DataFrame:
     every = F.greatest(F.ceil(F.col("_k") / block), F.ceil(F.col("_z") / ITEMS))
     minor = F.ceil(every * (F.col("_k") - F.col("_m._c")) / F.col("_k"))
     known = rows.join(by_key.select("key", F.col("_m.part").alias("_major"), every.cast("int").alias("_every"), minor.cast("int").alias("_minor")), "key")
-    one = known.where("_every = 1").select("key", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(2).alias("side"), "id", "part", *keep)
-    large = known.where("_every > 1")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = large.where("part <> _major").select("key", own("_minor").alias("low"), others("_every").alias("high"), F.lit(0).alias("side"), "id", "part", *keep)
-    all_ = large.select("key", others("_minor").alias("low"), own("_every").alias("high"), F.lit(1).alias("side"), "id", "part", *keep)
-    return one.unionByName(few).unionByName(all_)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    at = lambda low, high, side: F.struct(*(x.cast("int").alias(c) for x, c in ((low, "low"), (high, "high"), (F.lit(side), "side"))))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    few = F.when(F.col("part") != F.col("_major"), each("_every", lambda i: at(own("_minor"), i, 0))).otherwise(F.array().cast("array<struct<low:int,high:int,side:int>>"))
+    all_ = each("_minor", lambda i: at(i, own("_every"), 1))
+    # all of a row's places in one list: rows are computed for the sums and once more
+    places = F.when(F.col("_every") == 1, F.array(at(F.lit(0), F.lit(0), 2))).otherwise(F.concat(few, all_))
+    return known.select("key", F.explode(places).alias("_at"), "id", "part", *keep).select("key", "_at.low", "_at.high", "_at.side", "id", "part", *keep)
 
 
 def overlap_points(sets: list[np.ndarray]) -> np.ndarray:

@@ -89,30 +89,35 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node of edges(a, b), from larger to smaller ones, has two smaller neighbours, or smaller and larger ones."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("_e")).select("_e.*")
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("_k"), F.min("up").alias("_least"))
+    return nodes.where("_k > 1 or _k = 1 and _least = 0").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): a row (node, component) for each node, component the smallest node reachable.
 
     Distributed union-find by alternating large-star and small-star steps, in which every node learns only of smaller
     neighbours. A hub's rows are never gathered: the steps use the minimum of a group, which Spark pre-aggregates, and a
-    join. Rounds needed grow with the logarithm of the longest path.
+    join. Rounds needed grow with the logarithm of the longest path; none follows one that has left stars only. A round's plan
+    reads the edges four times: the driver keeps plans and tasks of past rounds for a while.
     """
     pair = lambda d: d.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    two = lambda d, x, y: d.select(F.explode(F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(e, "ab"))) for e in (x, y)))).alias("_e")).select("_e.*")
     now = written(pair(edges.select("a", "b")), f"{tag}-edges")
-    was = state(now)
     for _ in range(max_rounds):
+        if _stars(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         # large star: each node's larger neighbours are tied to the least of its neighbourhood
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = pair(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = two(now, "ab", "ba").groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = pair(now.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small star: each node and its smaller neighbours are tied to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = pair(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))))
+        small = pair(two(large.join(low, "a"), "bm", "am"))
         before, now = now, written(small, f"{tag}-edges")
         finished(before)
-        if (then := state(now)) == was:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        was = then
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -300,13 +300,17 @@ def thin_out(docs: DataFrame, num: int = 4, den: int = 5, also: DataFrame | None
     which documents of docs are known, such as those from before an earlier stage's cuts; those of other doc_ids are ignored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if also is not None:
-        ids = texts.select(F.col("doc_id").alias("id")).where("id is not null").distinct()
-        here = also.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-        # most texts are the same as before; hashes tell which, and only others are joined a second time
+        here = also.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        # most texts are the same as before; hashes tell which, and only others are moved, once, and kept for all that read them
         key = ["doc_id", F.xxhash64("text").alias("_h")]
-        changed = written(here.select(*key).join(texts.select(*key), ["doc_id", "_h"], "left_anti").select(F.col("doc_id").alias("id")).distinct(), "changed")
-        texts = texts.unionByName(likely(here, changed, "doc_id").join(changed, F.col("doc_id") == F.col("id"), "left_semi"))
+        known = here.select(*key).join(texts.select(F.col("doc_id").alias("id")).where("id is not null").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+        changed = written(known.join(texts.select(*key), ["doc_id", "_h"], "left_anti").select(F.col("doc_id").alias("id")).distinct(), "changed")
+        earlier = written(likely(here, changed, "doc_id").join(changed, F.col("doc_id") == F.col("id"), "left_semi"), "earlier")
+        finished(changed)
+        texts = texts.unionByName(earlier)
     parts = join(texts, num, den).where("doc_id is not null")
+    if also is not None:
+        finished(earlier)
     gone = written(parts.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
     left = without(docs, gone, "doc_id")
     again = written(left.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("_k")).where("_k > 1 and id is not null").select("id"), "repeated")
