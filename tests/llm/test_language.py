@@ -72,6 +72,22 @@ def test_variants_equal_brute_force(spark, docs, corpus, nothing, monkeypatch, p
     assert spelling.variants(nothing).isEmpty()
 
 
+def test_no_table_of_words_is_broadcast(spark, docs, monkeypatch):
+    plans = []
+
+    def written(df, tag):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return table(df, tag)
+
+    table = spelling.written
+    monkeypatch.setattr(spelling, "written", written)
+    last = spelling.variants(docs, 5)
+    plans.append(("last", last._jdf.queryExecution().executedPlan().toString()))
+    assert {"forms", "roots", "last"} < {tag for tag, _ in plans}
+    # which prefixes are cut again is a row for more than PART words
+    assert [tag for tag, plan in plans if tag != "trie" and "BroadcastExchange" in plan] == []
+
+
 def _scores(rows, depth):
     """Context-tree weighting by its definition, with recursion over the tree."""
     count = defaultdict(lambda: [0, 0])

@@ -10,7 +10,9 @@ Nodes of different parts are at distance one only if the edit lies in the letter
 of both words is the same. Such pairs are propagated by joins instead of going down two parts: each word is known by itself with
 one of those letters left open, and by itself without it. At most as many words as there are letters meet in one key.
 
-Words are counted in the tasks before they are shuffled. The graph of pairs is reduced to a row a word by partial aggregates,
+Words are counted in the tasks before they are shuffled. Tables that grow with the vocabulary meet by shuffles only (`sorted_join`):
+their files are small for their rows, more so where words are spread over their letters, so Spark would take them for tables to
+broadcast. The graph of pairs is reduced to a row a word by partial aggregates,
 and roots are found by pointer doubling, as a form is at least twice as frequent as its word.
 
 Rows: a null or empty text has no words; texts and runs of any length are used whole; repeated rows count each; a null doc_id
@@ -219,14 +221,19 @@ def within_parts(words: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "a string, b string")
 
 
+def sorted_join(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that is never a broadcast, whatever size Spark takes b for."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def across_parts(words: DataFrame) -> DataFrame:
     """(a, b): pairs whose edit is in the letters that lead to their parts, each once."""
     at = words.select("word", F.posexplode(F.expr("transform(sequence(1, cut), i -> struct(substring(word, i, 1) as c, substring(word, i + 1, 1) as d, concat(substring(word, 1, i - 1), substring(word, i + 1)) as rest))")).alias("i", "x")).select("word", "i", "x.*")
     # a letter replaced: both words leave the same one open
     one = at.select("i", "rest", F.col("word").alias("a"), F.col("c").alias("ca"))
-    replaced = one.join(at.select("i", "rest", F.col("word").alias("b"), F.col("c").alias("cb")), ["i", "rest"]).where("ca < cb").select("a", "b")
+    replaced = sorted_join(one, at.select("i", "rest", F.col("word").alias("b"), F.col("c").alias("cb")), ["i", "rest"]).where("ca < cb").select("a", "b")
     # a letter deleted: of equal letters in a row, the last one
-    shorter = at.where("c <> d").join(words.select(F.col("word").alias("rest")), "rest").select(F.col("rest").alias("a"), F.col("word").alias("b"))
+    shorter = sorted_join(at.where("c <> d"), words.select(F.col("word").alias("rest")), "rest").select(F.col("rest").alias("a"), F.col("word").alias("b"))
     return replaced.unionByName(shorter)
 
 
@@ -236,16 +243,16 @@ def variants(docs: DataFrame, every: int = 97) -> DataFrame:
     cut = written(parts(words), "trie")
     pairs = within_parts(cut).unionByName(across_parts(cut))
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")), F.struct(F.col("b").alias("word"), F.col("a").alias("other")))).alias("_p")).select("_p.*")
-    known = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    known = sorted_join(both, words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     near = known.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), F.col("other").alias("w"))).alias("best"))
-    formed = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.m") >= MORE * F.col("n"), F.col("best")).alias("_f"))
+    formed = sorted_join(words, near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.m") >= MORE * F.col("n"), F.col("best")).alias("_f"))
     formed = written(formed.select("word", F.col("_f.w").alias("form"), "n", "n_near", (-F.col("_f.m")).alias("form_n")), "forms")
     # a chain of forms doubles n at each step at least, so doubling the reach this many times comes to its end
     most = formed.agg(F.max("n")).first()[0] or 1
     reach = written(formed.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     for _ in range(math.ceil(math.log2(max(2, math.log2(most + 1) + 1)))):
-        reach = written(reach.join(reach.select(F.col("word").alias("root"), F.col("root").alias("_on")), "root", "left").select("word", F.coalesce("_on", "root").alias("root")), "roots")
-    return formed.join(reach, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        reach = written(sorted_join(reach, reach.select(F.col("word").alias("root"), F.col("root").alias("_on")), "root", "left").select("word", F.coalesce("_on", "root").alias("root")), "roots")
+    return sorted_join(formed, reach, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
